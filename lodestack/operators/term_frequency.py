@@ -1,0 +1,117 @@
+"""Occurrence and record counts of all n-grams from suffix arrays.
+
+Each Arrow batch of whole records becomes one array of term codes.  Its suffixes, compared over their
+first ``max_n`` terms, are sorted; runs of neighbours with a common prefix of n terms are the
+occurrences of one n-gram.  Walking the sorted suffixes record by record, every neighbour pair of one
+record that agrees in n terms is one duplicate; occurrences minus duplicates are records.  A record
+never spans batches, so both counts add up, and Spark merges one row per batch and distinct n-gram:
+a term that stands in every record is pre-aggregated before the shuffle.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A maximal run of at least two letters of ASCII and Latin-1, without × and ÷.
+TERM_PATTERN = "[A-Za-zÀ-ÖØ-öø-ÿ]{2,}"
+
+
+def term_codes(texts: list[str], pattern: re.Pattern) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Codes of all terms in order, the record of each, and the terms by code."""
+    found = [pattern.findall(t) for t in texts]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    flat = pa.array(" ".join([" ".join(f) for f in found if f]).lower().split(" ") if sizes.any() else [], pa.string())
+    coded = flat.dictionary_encode()
+    codes = np.asarray(coded.indices).astype(np.int64)
+    return codes, np.repeat(np.arange(len(found)), sizes), coded.dictionary
+
+
+def interval_counts(codes: np.ndarray, record: np.ndarray, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each n: a position of every distinct n-gram, its occurrences and its records."""
+    size = len(codes)
+    if not size:
+        return
+    # column k holds the term k places further on in the same record, or -1 behind its end
+    columns = np.full((max_n, size), -1, np.int64)
+    for k in range(max_n):
+        inside = record[k:] == record[: size - k]
+        columns[k, : size - k][inside] = codes[k:][inside]
+    order = np.lexsort((record, *columns[::-1]))  # the suffix array, cut after max_n terms
+    sorted_columns, owner = columns[:, order], record[order]
+
+    def common(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        same = (left == right) & (left >= 0)
+        return np.logical_and.accumulate(same, axis=0).sum(axis=0)
+
+    lcp = np.concatenate(([0], common(sorted_columns[:, :-1], sorted_columns[:, 1:])))
+    by_owner = np.argsort(owner, kind="stable")
+    twin = np.zeros(size, np.int64)
+    pair = owner[by_owner[1:]] == owner[by_owner[:-1]]
+    later, earlier = by_owner[1:][pair], by_owner[:-1][pair]
+    twin[later] = common(sorted_columns[:, earlier], sorted_columns[:, later])
+    for n in range(1, max_n + 1):
+        whole = sorted_columns[n - 1] >= 0
+        starts = np.flatnonzero(whole & (lcp < n))
+        if not len(starts):
+            return
+        total = np.add.reduceat(whole.astype(np.int64), starts)
+        # suffixes shorter than n sort before longer ones of the same prefix, so they start no interval
+        # but may follow one; they count neither as an occurrence nor as a duplicate
+        doubled = np.add.reduceat((whole & (twin >= n)).astype(np.int64), starts)
+        yield n, order[starts], total, total - doubled
+
+
+def ngram_counts(records: DataFrame, text_col: str, max_n: int = 1, pattern: str = TERM_PATTERN) -> DataFrame:
+    """``(n, term, n_total, n_docs)`` of every n-gram of up to ``max_n`` terms in ``records``.
+
+    One row of ``records`` is one record.  Null and empty texts count nothing, an empty table gives an
+    empty result, other columns are ignored whatever their names.  Terms are lower-cased and joined by
+    one blank; no n-gram crosses two records.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = re.compile(pattern)
+        for batch in batches:
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            codes, record, terms = term_codes(texts, compiled)
+            for n, at, total, docs in interval_counts(codes, record, max_n):
+                if n == 1:
+                    names = terms.take(pa.array(codes[at]))
+                else:
+                    words = terms.to_pylist()
+                    names = pa.array([" ".join(words[c] for c in codes[p : p + n]) for p in at], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), names, pa.array(total), pa.array(docs)], names=["n", "term", "n_total", "n_docs"])
+
+    parts = records.select(F.col(text_col).cast("string").alias("text")).mapInArrow(partial, "n int, term string, n_total long, n_docs long")
+    return parts.groupBy("n", "term").agg(F.sum("n_total").alias("n_total"), F.sum("n_docs").alias("n_docs"))
+
+
+def latest_records(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None) -> DataFrame:
+    """One row ``(id, text)`` per id with a text: the copy with the greatest ``order_col``.
+
+    Copies without a time come before all others; ties go to the greater text, so the result does
+    not depend on row order.  Rows with a null id or null text are left out.
+    """
+    columns = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
+    if order_col is None:
+        return df.select(*columns).where("id is not null and text is not null").groupBy("id").agg(F.max("text").alias("text"))
+    rows = df.select(*columns, F.col(order_col).alias("at")).where("id is not null and text is not null")
+    return rows.groupBy("id").agg(F.max(F.struct(F.col("at"), F.col("text"))).alias("best")).select("id", F.col("best.text").alias("text"))
+
+
+def marked_terms(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None, rare_docs: int = 2, common_share: float = 0.2, max_n: int = 1) -> DataFrame:
+    """``(n, term, n_total, n_docs, mark)`` over the latest copy of every id.
+
+    ``mark`` is ``common`` from ``common_share`` of all counted records on, else ``rare`` up to
+    ``rare_docs`` records, else ``useful``.  ``common`` wins in a collection so small that both hold.
+    """
+    counted = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col).distinct().count()
+    counts = ngram_counts(latest_records(df, id_col, text_col, order_col), "text", max_n)
+    mark = F.when(F.col("n_docs") >= F.lit(common_share * counted), "common").when(F.col("n_docs") <= rare_docs, "rare").otherwise("useful")
+    return counts.withColumn("mark", mark)
