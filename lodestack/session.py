@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 #: Rows of one or two numbers that may be broadcast after they have been counted.
 BROADCAST_ROWS = 1_000_000
@@ -36,8 +39,23 @@ def build_session(app: str = "lodestack", master: str | None = None, **conf: str
     return builder.config(map=settings).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-lodestack-")) / "lodestack.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The Parquet table ``table`` of the data folder ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
