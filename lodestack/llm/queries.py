@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import packing, shared_spans
+from lodestack.llm import encoding_repair, packing, shared_spans
 from lodestack.llm.mixing import Mixture
 from lodestack.session import load, materialize
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_repair.restored_digests(encoding_repair.garbled_records(load(spark, sf_dir, "bench_docs"), "id", "text", "harvested_at"))
+
+
+def p5_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_repair.garbled_records(load(spark, sf_dir, "bench_docs"), "id", "text", "harvested_at")
+
+
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), load(spark, sf_dir, "container_plans"))
 
@@ -46,5 +54,5 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.maximal_spans(shared_spans.shared_intervals(load(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p6_pack, p6_fill, p7_mix, p7_selection, p7_shares, p7_budget_shares, p8_found, p8_spans)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_chains, p6_pack, p6_fill, p7_mix, p7_selection, p7_shares, p7_budget_shares, p8_found, p8_spans)}
 ORACLE: dict[str, str] = {}
