@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestack.llm import encoding_repair, packing, shared_spans
 from lodestack.llm.mixing import Mixture
+from lodestack.llm.secrets import SecretScan
 from lodestack.session import load, materialize
 
 
+def secret_scan(spark: SparkSession, sf_dir: str) -> SecretScan:
+    docs = load(spark, sf_dir, "bench_docs").select(F.lit("bench_docs").alias("origin"), F.col("id").alias("row_id"), F.col("collection").alias("owner"), "text")
+    entries = load(spark, sf_dir, "pack_entries").select(F.lit("pack_entries").alias("origin"), F.col("entry_id").alias("row_id"), F.col("pack_id").cast("string").alias("owner"), F.col("source").alias("text"))
+    return SecretScan(docs.union(entries), path_origins=("pack_entries",))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(spark, sf_dir).occurrences()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(spark, sf_dir).redacted()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_repair.restored_digests(encoding_repair.garbled_records(load(spark, sf_dir, "bench_docs"), "id", "text", "harvested_at"))
 
@@ -54,5 +70,5 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.maximal_spans(shared_spans.shared_intervals(load(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_chains, p6_pack, p6_fill, p7_mix, p7_selection, p7_shares, p7_budget_shares, p8_found, p8_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p5_found, p5_chains, p6_pack, p6_fill, p7_mix, p7_selection, p7_shares, p7_budget_shares, p8_found, p8_spans)}
 ORACLE: dict[str, str] = {}
