@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import encoding_repair, packing, shared_spans
+from lodestack.llm import encoding_repair, handwritten, packing, shared_spans
 from lodestack.llm.mixing import Mixture
 from lodestack.llm.secrets import SecretScan
 from lodestack.session import load, materialize
@@ -25,6 +25,14 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(spark, sf_dir).redacted()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.file_reasons(load(spark, sf_dir, "code_chunks")).where(F.size("reasons") > 0).select("page_index")
+
+
+def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.file_reasons(load(spark, sf_dir, "code_chunks"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_repair.restored_digests(encoding_repair.garbled_records(load(spark, sf_dir, "bench_docs"), "id", "text", "harvested_at"))
 
@@ -70,5 +78,5 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.maximal_spans(shared_spans.shared_intervals(load(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p5_found, p5_chains, p6_pack, p6_fill, p7_mix, p7_selection, p7_shares, p7_budget_shares, p8_found, p8_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_reasons, p5_found, p5_chains, p6_pack, p6_fill, p7_mix, p7_selection, p7_shares, p7_budget_shares, p8_found, p8_spans)}
 ORACLE: dict[str, str] = {}
