@@ -103,7 +103,7 @@ def unsafe_path(path: Column) -> Column:
 def word_stems(word: Column) -> Column:
     """Candidate stems of an English inflection, in rule order; which ones are words the vocabulary decides."""
     size = F.length(word)
-    cut = lambda n: F.expr(f"substring({word._jc.toString()}, 1, length({word._jc.toString()}) - {n})")  # noqa: E731, SLF001
+    cut = lambda n: F.substring(word, F.lit(1), size - n)
     none = F.lit(None).cast("string")
     ing, ed = cut(3), cut(2)
     doubled = F.length(ing) > 2
