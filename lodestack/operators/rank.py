@@ -29,7 +29,8 @@ def matches(space: SearchSpace, max_df_ratio: float | None = None) -> DataFrame:
     """``(query_id, qtf, term, doc_id, dl, tf, df, df_ratio, idf)`` of every query term in every document."""
     idf = space.idf if max_df_ratio is None else space.idf.where(F.col("df_ratio") <= max_df_ratio)
     wanted = space.query_terms.join(broadcast_if_small(idf), "term")
-    return space.postings.join(broadcast_if_small(wanted), "term")
+    # postings move once, by document; the many (query, document) rows they join to are then summed in place
+    return space.postings.repartition("doc_id").join(broadcast_if_small(wanted), "term")
 
 
 def bm25(space: SearchSpace, k: int = 10, k1: float = 1.5, b: float = 0.75, max_df_ratio: float | None = None, unique_terms: bool = False, title_boost: float = 0.0) -> DataFrame:
@@ -45,7 +46,7 @@ def bm25(space: SearchSpace, k: int = 10, k1: float = 1.5, b: float = 0.75, max_
         allowed = space.query_terms
         if max_df_ratio is not None:
             allowed = allowed.join(space.idf.where(F.col("df_ratio") > max_df_ratio).select("term"), "term", "left_anti")
-        scored = scored.union(space.titles.join(broadcast_if_small(allowed), "term").select("query_id", "doc_id", F.lit(float(title_boost)).alias("s")))
+        scored = scored.union(space.titles.repartition("doc_id").join(broadcast_if_small(allowed), "term").select("query_id", "doc_id", F.lit(float(title_boost)).alias("s")))
     summed = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score")).where("score > 0")
     return top(summed, k).select("query_id", "rank", "doc_id", "score")
 
