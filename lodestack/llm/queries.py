@@ -79,4 +79,10 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_reasons, p5_found, p5_chains, p6_pack, p6_fill, p7_mix, p7_selection, p7_shares, p7_budget_shares, p8_found, p8_spans)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p8_found": """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
+w AS (SELECT doc_id, s, hash(substring(text, s + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS s FROM d)),
+g AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+i AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM w WHERE h IN (SELECT h FROM g))
+SELECT doc_id, sum(least(200, coalesce(s - p, 200)))::BIGINT AS shared_chars FROM i GROUP BY doc_id""",
+}
