@@ -64,11 +64,34 @@ def shingle_sets(texts: list[str], size: int, least_words: int) -> tuple[np.ndar
     return shingle[fresh], np.bincount(owner[fresh], minlength=len(texts))
 
 
+def _minima(seeds: np.ndarray, owner: np.ndarray, count: int, slots: int) -> np.ndarray:
+    """Signatures of ``count`` sets whose elements lie end to end, ``owner`` telling whose each is."""
+    permutation = np.tile(np.arange(slots, dtype=np.int16), (len(seeds), 1))
+    # integer part and fraction of rank + u in one 64-bit number, so minima are exact
+    values = np.full(count * slots, np.iinfo(np.uint64).max, np.uint64)
+    rows = np.arange(len(seeds))
+    for rank in range(slots):
+        draw = _mix(seeds + np.uint64(rank + 1) * _GOLD)
+        other = rank + ((draw >> np.uint64(48)) % np.uint64(slots - rank)).astype(np.int64)
+        slot = permutation[rows, other]
+        permutation[rows, other] = permutation[rows, rank]
+        value = (np.uint64(rank) << np.uint64(48)) | (draw & np.uint64((1 << 48) - 1))
+        np.minimum.at(values, owner * slots + slot, value)
+        most = values.reshape(count, slots).max(axis=1) >> np.uint64(48)
+        active = most[owner] > rank
+        if not active.all():
+            seeds, owner, rows = seeds[active], owner[active], rows[active]
+        if not len(seeds):
+            break
+    return values.reshape(count, slots)
+
+
 def super_min_hash(elements: np.ndarray, sizes: np.ndarray, slots: int, block: int = 40_000) -> np.ndarray:
     """SuperMinHash signatures, one row of ``slots`` 64-bit values per non-empty set.
 
     The k-th round gives each element's k-th slot the value k + u; a set leaves the rounds once all
-    its slots are below k, since no later round can lower them.
+    its slots are below k, since no later round can lower them.  Elements count for themselves, so a
+    set larger than ``block`` is signed in parts and the parts' minima are taken.
     """
     sizes = sizes[sizes > 0]
     ends = np.cumsum(sizes)
@@ -76,29 +99,14 @@ def super_min_hash(elements: np.ndarray, sizes: np.ndarray, slots: int, block: i
     first = 0
     with np.errstate(over="ignore"):
         while first < len(sizes):
-            base = ends[first] - sizes[first]
+            base = int(ends[first] - sizes[first])
             last = max(first + 1, int(np.searchsorted(ends, base + block, "right")))
-            count = last - first
-            seeds = elements[base : ends[last - 1]]
-            owner = np.repeat(np.arange(count), sizes[first:last])
-            permutation = np.tile(np.arange(slots, dtype=np.int16), (len(seeds), 1))
-            # integer part and fraction of rank + u in one 64-bit number, so minima are exact
-            values = np.full(count * slots, np.iinfo(np.uint64).max, np.uint64)
-            rows = np.arange(len(seeds))
-            for rank in range(slots):
-                draw = _mix(seeds + np.uint64(rank + 1) * _GOLD)
-                other = rank + ((draw >> np.uint64(48)) % np.uint64(slots - rank)).astype(np.int64)
-                slot = permutation[rows, other]
-                permutation[rows, other] = permutation[rows, rank]
-                value = (np.uint64(rank) << np.uint64(48)) | (draw & np.uint64((1 << 48) - 1))
-                np.minimum.at(values, owner * slots + slot, value)
-                most = values.reshape(count, slots).max(axis=1) >> np.uint64(48)
-                active = most[owner] > rank
-                if not active.all():
-                    seeds, owner, rows = seeds[active], owner[active], rows[active]
-                if not len(seeds):
-                    break
-            out[first:last] = values.reshape(count, slots)
+            if sizes[first] > block:
+                parts = [elements[at : min(at + block, int(ends[first]))] for at in range(base, int(ends[first]), block)]
+                out[first] = np.minimum.reduce([_minima(p, np.zeros(len(p), np.int64), 1, slots)[0] for p in parts])
+                first += 1
+                continue
+            out[first:last] = _minima(elements[base : ends[last - 1]], np.repeat(np.arange(last - first), sizes[first:last]), last - first, slots)
             first = last
     return out
 

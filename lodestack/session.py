@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_WRITTEN: dict[str, list[str]] = {}
 
 #: Rows of one or two numbers that may be broadcast after they have been counted.
 BROADCAST_ROWS = 1_000_000
@@ -76,10 +77,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestack-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables that :func:`materialize` wrote in this application; results still unread are lost."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)  # noqa: SLF001
+    return len(paths)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of narrow rows only after counting at most ``limit`` of them.
 

@@ -101,6 +101,12 @@ def test_signatures_do_not_depend_on_the_batch():
     assert (band_keys(super_min_hash(alone, n, 12), 4, 3)[0] == whole[1]).all()
 
 
+def test_a_large_set_is_signed_in_parts():
+    elements = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
+    sizes = np.array([10, 4000, 990])
+    assert (super_min_hash(elements, sizes, 24, block=300) == super_min_hash(elements, sizes, 24, block=10**6)).all()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2), (None, 5)]
     rows = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

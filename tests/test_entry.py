@@ -39,3 +39,10 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in corpus.json_lines(spark, str(tmp_path / "rows.jsonl")).collect()] == [("p", "hello")]
     corpus.write_table(spark.range(100), str(tmp_path / "t"), "id")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 100
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from lodestack.session import clear_scratch, materialize
+
+    kept = materialize(spark.range(5), "t")
+    assert kept.count() == 5 and clear_scratch(spark) >= 1 and clear_scratch(spark) == 0
