@@ -18,7 +18,7 @@ def source_files(spark: SparkSession, root: str, include_all: bool = False, max_
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^file:/+", "/")
-    rows = files.select(path.alias("path"), "content", F.col("length").alias("bytes")).where(~path.rlike(r"/\.git/|\.(spec|specpack|ldst)$"))
+    rows = files.select(path.alias("path"), "content", F.col("length").alias("bytes")).where(~path.rlike(r"/\.git/|\.ldst$"))
     reason = (
         F.when(language_of(F.col("path")).isNull() & F.lit(not include_all), "unsupported_ext")
         .when(F.lit(max_bytes is not None) & (F.col("bytes") > F.lit(max_bytes or 0)), "too_large")
