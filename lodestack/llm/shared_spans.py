@@ -11,8 +11,9 @@ count anchors, about one in 70 characters.
    tells which spans stand in another record.  Nothing shared is lost, whatever the sketch's size;
    a crowded sketch only lets more unshared anchors through.
 
-Anchors with more than ``hot_anchor`` occurrences are exploded into single spans and pre-aggregated,
-so no task ever holds the records around a hot passage.
+Anchors with more than ``hot_anchor`` occurrences go another exact way: equal contexts collapse to one
+row first, the different ones are exploded into single spans and pre-aggregated, so no task ever holds
+the records around a hot passage.
 """
 
 from __future__ import annotations
@@ -254,14 +255,22 @@ def shared_intervals(records: DataFrame, id_col: str, text_col: str, *, min_char
                 for batch in batches:
                     for at in range(0, batch.num_rows, 2000):
                         part = batch.slice(at, 2000)
-                        fp, doc, first = (np.asarray(part.column(c)) for c in range(3))
-                        value, anchor, who, start = _runs(fp, doc, first, part.column(3).to_pylist(), min_chars, hasher)
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(value.view(np.int64)), pa.array(who), pa.array(start)], names=["anchor", "span", "doc_id", "start"])
-
-        single = found.join(broadcast_if_small(hot), "anchor", "left_semi").mapInArrow(explode, "anchor long, span long, doc_id long, start long")
-        shared = single.groupBy("anchor", "span").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor", "span")
-        covered = single.join(shared, ["anchor", "span"], "left_semi")
-        out = out.union(covered.select("doc_id", F.col("start").alias("first"), (F.col("start") + min_chars).alias("last")).distinct())
+                        fp, key, least, most = (np.asarray(part.column(c)) for c in range(4))
+                        rows = np.arange(len(fp))
+                        value, anchor, row, offset = _runs(fp, rows, np.zeros(len(fp), np.int64), part.column(4).to_pylist(), min_chars, hasher)
+                        columns = [anchor, key[row], value.view(np.int64), least[row], most[row], offset]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "key", "span", "a", "b", "offset"])
+
+        # copies of one context collapse to a row; only different contexts are spelled out as spans
+        crowd = found.join(broadcast_if_small(hot), "anchor", "left_semi").withColumn("key", F.xxhash64("context"))
+        different = crowd.groupBy("anchor", "key", "context").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).select("anchor", "key", "a", "b", "context")
+        single = materialize(different.mapInArrow(explode, "anchor long, key long, span long, a long, b long, offset long"), "hot-spans")
+        shared = single.groupBy("anchor", "span").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a < b").select("anchor", "span")
+        covered = single.join(shared, ["anchor", "span"], "left_semi").select("anchor", "key", "offset").distinct()
+        order = Window.partitionBy("anchor", "key").orderBy("offset")  # at most one row for each place in a context
+        islands = covered.withColumn("island", F.col("offset") - F.row_number().over(order)).groupBy("anchor", "key", "island").agg(F.min("offset").alias("from"), F.max("offset").alias("to"))
+        placed = crowd.select("anchor", "key", "doc_id", "first").join(materialize(islands.select("anchor", "key", "from", "to"), "hot-runs"), ["anchor", "key"])
+        out = out.union(placed.select("doc_id", (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.col("to") + min_chars).alias("last")).distinct())
     return out
 
 

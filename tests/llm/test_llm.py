@@ -61,6 +61,15 @@ def test_a_crowded_sketch_loses_nothing(spark):
     assert {r.doc_id: r.shared_chars for r in shared_spans.shared_chars(spans).collect()} == brute_shared(texts, 40)
 
 
+def test_a_third_of_the_records_are_copies(spark):
+    pick = random.Random(9)
+    texts = {i: "".join(pick.choice("abcdefgh ") for _ in range(120)) for i in range(60)}
+    texts |= {100 + i: "the same passage in every one of these records, word for word, letter for letter" for i in range(30)}
+    frame = spark.createDataFrame(list(texts.items()), "id long, text string")
+    spans = shared_spans.shared_intervals(frame, "id", "text", min_chars=40, gram=16, cells=1 << 18, hot_anchor=5)
+    assert {r.doc_id: r.shared_chars for r in shared_spans.shared_chars(spans).collect()} == brute_shared(texts, 40)
+
+
 def test_no_records_share_nothing(spark):
     frame = spark.createDataFrame([], "id long, text string")
     assert shared_spans.shared_chars(shared_spans.shared_intervals(frame, "id", "text", cells=1 << 18)).count() == 0
