@@ -243,3 +243,16 @@ def test_files_that_nobody_wrote(spark):
     assert {k for k, v in got.items() if v} == {2, 4, 5, 6, 7, 8}
     assert got[2] == {"generated"} and got[8] == {"vendored"} and got[5] == {"squeezed"} and got[6] == {"data"}
     assert handwritten.file_reasons(frame.limit(0)).count() == 0
+
+
+def test_foreign_names_in_a_small_language(spark):
+    own = ["<?php\n" + "\n".join(f"$read_{a}_{b} = load_{b}(open_{a}({i}), close_{b});" for b in "uvwx") for i, a in enumerate(["valve", "gauge", "meter", "lamp"] * 5)]
+    files = {i: [text] for i, text in enumerate(own)}
+    # foreign only over all of its chunks; two camel names delivered nine times are still two
+    files[100] = [f"<?php\n$openGate{k} = 1; $readMark{k} = 2; $sendMail{k} = 3; $foldMap{k} = 4; $turnKey{k} = 5;\n" for k in ("A", "B", "C", "D")]
+    files[101] = ["<?php\n$openGate = 1; $readMark = 2; $valve_a = 3; $valve_b = 4; $valve_c = 5;\n"] * 9
+    rows = [(k, f"src/f{k}.php", text, 0) for k, chunks in files.items() for text in chunks]
+    rows += [(200, "src/g.rb", "openGate = readMark\nsendMail = callHome\n", 99)]
+    frame = spark.createDataFrame(rows, "page_index int, source_path string, text string, language_id int")
+    got = {r.page_index: set(r.reasons) for r in handwritten.file_reasons(frame).collect()}
+    assert {k: v for k, v in got.items() if v} == {100: {"vendored"}}
