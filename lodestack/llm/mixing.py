@@ -1,8 +1,9 @@
 """Mixing sources to target weights by proportionate-fair scheduling.
 
-How much: the total of a mix is the largest at which every named source that holds text can give
-exactly its share, repeating each document at most ``max_repeats`` times (or a given budget, whose
-shortfalls the other sources take over by weight).  A source's quota is filled with whole passes over
+How much: with ``budget_share`` the total of a mix is that share of the tokens of its named sources;
+each document repeats at most ``max_repeats`` times, and what a source lacks is reported and taken over
+by the other sources by weight.  Without it the total is the largest at which every named source that
+holds text can give exactly its share, so the scarcest source sets it.  A source's quota is filled with whole passes over
 its documents in hashed order, then a prefix of one more pass, then up to three documents that fit the
 rest best.
 
@@ -71,7 +72,7 @@ class Mixture:
         self.selected = materialize(self._select(), "selected")
 
     def _quotas(self, targets: DataFrame, budget_share: float | None) -> DataFrame:
-        """``(mix_id, source, target_share, max_repeats, available, quota)``; as many rows as targets."""
+        """``(mix_id, source, target_share, max_repeats, available, wanted, quota)``; as many rows as targets."""
         named = targets.where("mix_id is not null and source is not null").withColumn("ok", (F.col("target_weight") > 0) & (F.col("max_repeats") >= 1))
         named = named.groupBy("mix_id", "source").agg(F.sum(F.when(F.col("ok"), F.col("target_weight")).otherwise(0.0)).alias("weight"), F.coalesce(F.min(F.when(F.col("ok"), F.col("max_repeats"))), F.lit(0)).cast("long").alias("max_repeats"))
         held = self.documents.groupBy("source").agg(F.sum("n_tokens").alias("available"))
@@ -84,18 +85,21 @@ class Mixture:
             share = weight.where(live, 0.0)
             share = share / max(share.sum(), 1e-300)
             quota = share * 0.0
+            total = 0.0
             if live.any() and budget_share is None:
-                quota = share * (limit[live] / share[live]).min()
+                total = (limit[live] / share[live]).min()
+                quota = share * total
             elif live.any():
-                rest, open_ = budget_share * float(mix["available"].sum()), live.copy()
+                total = budget_share * float(mix["available"].sum())
+                rest, open_ = total, live.copy()
                 while rest > 0.5 and open_.any():
                     part = (share * open_) / (share * open_).sum() * rest
                     given = part.clip(upper=limit - quota)
                     quota, rest = quota + given, rest - given.sum()
                     open_ &= quota < limit - 0.5
-            return mix.assign(target_share=weight, quota=quota.clip(upper=limit).round().astype("int64"))[["mix_id", "source", "target_share", "max_repeats", "available", "quota"]]
+            return mix.assign(target_share=weight, wanted=(weight * total).round().astype("int64"), quota=quota.clip(upper=limit).round().astype("int64"))[["mix_id", "source", "target_share", "max_repeats", "available", "wanted", "quota"]]
 
-        return rows.groupBy("mix_id").applyInPandas(settle, "mix_id int, source string, target_share double, max_repeats long, available long, quota long")
+        return rows.groupBy("mix_id").applyInPandas(settle, "mix_id int, source string, target_share double, max_repeats long, available long, wanted long, quota long")
 
     def _select(self) -> DataFrame:
         """``(mix_id, source, doc_id, n_tokens, start, repeats, extra_at, ...)``; ``extra_at`` places a copy outside the prefix."""
@@ -127,11 +131,14 @@ class Mixture:
         return self.selected.select("mix_id", "source", "doc_id", "n_tokens", "repeats")
 
     def shares(self) -> DataFrame:
-        """``(mix_id, source, target_share, share, tokens, documents, copies)`` really reached, one row per target."""
+        """``(mix_id, source, target_share, share, tokens, documents, copies, shortfall)`` really reached, one row per target.
+
+        ``shortfall`` is what the tokens lack of the target share of the mix's total.
+        """
         got = self.selected.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.sum("repeats").alias("copies"))
         rows = self.quotas.join(got, ["mix_id", "source"], "left").fillna(0, ["tokens", "documents", "copies"])
         total = F.sum("tokens").over(Window.partitionBy("mix_id"))  # as many rows as targets
-        return rows.select("mix_id", "source", F.round("target_share", 6).alias("target_share"), F.round(F.when(total > 0, F.col("tokens") / total).otherwise(0.0), 6).alias("share"), "tokens", "documents", "copies")
+        return rows.select("mix_id", "source", F.round("target_share", 6).alias("target_share"), F.round(F.when(total > 0, F.col("tokens") / total).otherwise(0.0), 6).alias("share"), "tokens", "documents", "copies", F.greatest(F.col("wanted") - F.col("tokens"), F.lit(0)).alias("shortfall"))
 
     def schedule(self) -> DataFrame:
         """``(mix_id, slot, source, block, block_tokens)`` of at most about ``slots`` slots per mix."""

@@ -50,7 +50,7 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(materialize(packing.pack(load(spark, sf_dir, "documents"), plans), "packed"), plans)
 
 
-def mixture(spark: SparkSession, sf_dir: str, budget_share: float | None = None) -> Mixture:
+def mixture(spark: SparkSession, sf_dir: str, budget_share: float | None = 1.0) -> Mixture:
     return Mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), budget_share=budget_share)
 
 
@@ -70,6 +70,14 @@ def p7_budget_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(spark, sf_dir, budget_share=1.0).shares()
 
 
+def p7_exact_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(spark, sf_dir, budget_share=None).interleaved()
+
+
+def p7_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(spark, sf_dir, budget_share=None).shares()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_chars(shared_spans.shared_intervals(load(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -78,7 +86,7 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.maximal_spans(shared_spans.shared_intervals(load(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_reasons, p5_found, p5_chains, p6_pack, p6_fill, p7_mix, p7_selection, p7_shares, p7_budget_shares, p8_found, p8_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_reasons, p5_found, p5_chains, p6_pack, p6_fill, p7_mix, p7_selection, p7_shares, p7_budget_shares, p7_exact_mix, p7_exact_shares, p8_found, p8_spans)}
 ORACLE: dict[str, str] = {
     "p8_found": """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
 w AS (SELECT doc_id, s, hash(substring(text, s + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS s FROM d)),

@@ -148,6 +148,25 @@ def test_mixture_keeps_weights_and_limits(spark):
     assert Mixture(docs(spark), targets.limit(0)).shares().count() == 0
 
 
+def test_a_scarce_source_does_not_shrink_the_registered_mix(spark, tmp_path):
+    from lodestack.llm.queries import QUERIES
+
+    rows = [(i, "alpha beta gamma delta " * 20, "many" if i % 2 else "more") for i in range(100)] + [(900, "alpha beta gamma", "scarce")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    targets = [(1, "many", 0.25, 2), (1, "more", 0.25, 1), (1, "scarce", 0.5, 3), (2, "many", 1.0, 1)]
+    spark.createDataFrame(targets, "mix_id int, source string, target_weight double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    sizes = {r.doc_id: r.n_tokens for r in tokens.token_table(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text").collect()}
+    total = sum(sizes.values())
+    got = {r.source: r for r in QUERIES["p7_shares"](spark, str(tmp_path)).where("mix_id = 1").collect()}
+    assert got["scarce"].tokens == 3 * sizes[900] and got["more"].tokens <= 50 * sizes[0]
+    assert abs(sum(r.tokens for r in got.values()) - total) <= sizes[0]
+    assert abs(got["scarce"].shortfall - (0.5 * total - got["scarce"].tokens)) <= 1 and got["many"].shortfall == 0
+    copies = QUERIES["p7_mix"](spark, str(tmp_path)).where("mix_id = 1").groupBy().sum("n_tokens").first()[0]
+    assert copies == sum(r.tokens for r in got.values()) == QUERIES["p7_selection"](spark, str(tmp_path)).where("mix_id = 1").selectExpr("sum(n_tokens * repeats)").first()[0]
+    exact = {r.source: r.tokens for r in QUERIES["p7_exact_shares"](spark, str(tmp_path)).where("mix_id = 1").collect()}
+    assert 0 < exact["scarce"] <= 3 * sizes[900] and exact["many"] < sizes[1]
+
+
 # ---- encodings
 
 CLEAN_TEXTS = ["Der Zähler würde für die Übersicht höher überprüft.", "Après la mise à jour, où est le dépôt fermé ?", "Błąd pojawił się, gdy żółta skrzynia została przesunięta.", "Сканер пишет странные буквы вместо номера.", "It’s 40 € per metric… “done” at 67 °C", "La versión corrige la codificación según el técnico."]
