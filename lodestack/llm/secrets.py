@@ -124,18 +124,22 @@ def _near_triggers(text: str) -> str:
             machine.add_word(word, len(word))
         machine.make_automaton()
         _MACHINE.append(machine)
-    out, done = [], 0
+    out, line = [], 0
     lower = text.lower() if len(text.lower()) == len(text) else text
     for end, _ in _MACHINE[0].iter(lower):
-        if end < done:
+        if end < line:  # the line of the trigger before
             continue
-        first = max(done, text.rfind("\n", 0, end) + 1)
-        done = end
-        for _ in range(3):
-            cut = text.find("\n", done)
-            done = cut + 1 if cut >= 0 else len(text)
-        out.append(text[first:done])
-    return "\n".join(out)
+        first = text.rfind("\n", 0, end) + 1
+        cut = text.find("\n", end)
+        line = stop = cut + 1 if cut >= 0 else len(text)
+        for _ in range(2):
+            cut = text.find("\n", stop)
+            stop = cut + 1 if cut >= 0 else len(text)
+        if out and first <= out[-1][1]:
+            out[-1][1] = stop
+        else:
+            out.append([first, stop])
+    return "\n".join(text[first:stop] for first, stop in out)
 
 
 def literals(text: str, path: bool = False) -> set[str]:

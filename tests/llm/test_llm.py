@@ -239,6 +239,13 @@ def test_a_secret_in_a_very_long_text(spark):
     assert [r.secret for r in secrets.SecretScan(frame).occurrences().collect()] == ["Qm81kZt27LpXw94c"]
 
 
+def test_every_trigger_keeps_the_two_lines_after_it():
+    text = "env:\n- name: DB_PASSWORD\n  value: hT5!vbnQ2x\n- name: API_TOKEN\n  value: Zx9kQ27LmPq8\n- name: OTHER\n  value: 12\nfar\naway\n"
+    assert {"hT5!vbnQ2x", "Zx9kQ27LmPq8"} <= secrets.literals(text)
+    assert "Korb-lamp4821" in secrets.literals("open the auth file\nthen\npassword =\n  Korb-lamp4821\n")
+    assert "away" not in secrets._near_triggers(text)
+
+
 # ---- hand-written files
 
 
