@@ -6,8 +6,8 @@
 2. A literal that many owners share is a placeholder.  A rare one is confirmed if its structure is
    that of a credential: no reference, template, mask, hash, name or plain word.
 3. Every text is scanned again for the confirmed secrets, wherever they stand.  Eight characters from
-   the middle of each secret are marked in a bit map of fixed size; texts are first tested against
-   that, then joined with the secrets they may hold, and an Aho-Corasick automaton over these finds
+   the middle of each secret (six of one with six or seven) are marked in a bit map of fixed size, one
+   per width; texts are first tested against these, then joined with the secrets they may hold, and an Aho-Corasick automaton over these finds
    the exact places.
 """
 
@@ -168,19 +168,24 @@ def literals(text: str, path: bool = False) -> set[str]:
     return {v for v in found if v}
 
 
+#: Characters of the grams; a secret has one of the greatest width that it can hold.
+_WIDTHS = (8, 6)
+
+
 def _middle(secret: str) -> str:
-    at = max(0, len(secret) // 2 - 4)
-    return secret[at : at + 8]
+    width = next(w for w in _WIDTHS if len(secret) >= w)
+    at = max(0, len(secret) // 2 - width // 2)
+    return secret[at : at + width]
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _gram_hashes(points: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every run of eight code points."""
-    n = len(points) - 7
-    out = np.zeros(max(n, 0), np.uint64)
-    for k in range(8):
+def _gram_hashes(points: np.ndarray, width: int = 8) -> np.ndarray:
+    """A 64-bit hash of every run of ``width`` code points."""
+    n = max(len(points) - width + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for k in range(width):
         out = (out ^ points[k : k + n]) * _ODD
         out ^= out >> np.uint64(29)
     return out
@@ -188,7 +193,7 @@ def _gram_hashes(points: np.ndarray) -> np.ndarray:
 
 def _gram_hash(gram: str) -> int:
     with np.errstate(over="ignore"):
-        return int(_gram_hashes(np.frombuffer(gram.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))[0].view(np.int64))
+        return int(_gram_hashes(np.frombuffer(gram.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), len(gram))[0].view(np.int64))
 
 
 class SecretScan:
@@ -220,14 +225,17 @@ class SecretScan:
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 kept = [v for v in batch.column(0).to_pylist() if credible(v)]
-                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([_gram_hash(_middle(v)) if len(v) >= 8 else 0 for v in kept], pa.int64())], names=["secret", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([_gram_hash(_middle(v)) for v in kept], pa.int64()), pa.array([len(_middle(v)) for v in kept], pa.int32())], names=["secret", "gram", "width"])
 
         rare = owners.where(F.col("owners") < placeholder_owners).select("literal")
-        self.secrets = materialize(rare.mapInArrow(confirm, "secret string, gram long"), "secrets")
-
-    def _bit_map(self) -> np.ndarray:
-        """Which gram hashes occur among the secrets; ``map_bits / 8`` bytes, whatever the input."""
-        words = self.secrets.where("gram <> 0").select(F.pmod("gram", F.lit(self.map_bits)).alias("cell"))
+        self.secrets = materialize(rare.mapInArrow(confirm, "secret string, gram long, width int"), "secrets")
+
+    def _bit_map(self, width: int) -> np.ndarray | None:
+        """Which gram hashes of one width occur among the secrets; ``map_bits / 8`` bytes, whatever the input. None if no secret has that width."""
+        held = self.secrets.where(F.col("width") == width)
+        if held.isEmpty():
+            return None
+        words = held.select(F.pmod("gram", F.lit(self.map_bits)).alias("cell"))
         words = words.groupBy(F.expr("shiftright(cell, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell % 64 AS INT))")).alias("bits"))
         out = np.zeros(self.map_bits // 64, np.int64)
         for row in words.toLocalIterator():
@@ -236,7 +244,7 @@ class SecretScan:
 
     def occurrences(self) -> DataFrame:
         """``(origin, row_id, secret)``, distinct: every confirmed secret in every text."""
-        bits = self.texts.sparkSession.sparkContext.broadcast(self._bit_map())
+        bits = self.texts.sparkSession.sparkContext.broadcast({w: m for w in _WIDTHS if (m := self._bit_map(w)) is not None})
         size = self.map_bits
 
         def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,11 +255,14 @@ class SecretScan:
                         texts = batch.column(2).to_pylist()
                         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
                         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-                        hashed = _gram_hashes(points)
-                        cell = np.mod(hashed.view(np.int64), size).astype(np.uint64)
-                        hit = np.flatnonzero((bits.value[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1))
-                        row = np.searchsorted(np.cumsum(sizes), hit, side="right")
-                        pairs = np.unique(np.stack([row, hashed[hit].view(np.int64)]), axis=1) if len(hit) else np.zeros((2, 0), np.int64)
+                        found = [np.zeros((2, 0), np.int64)]
+                        for width, marked in bits.value.items():
+                            hashed = _gram_hashes(points, width)
+                            cell = np.mod(hashed.view(np.int64), size).astype(np.uint64)
+                            hit = np.flatnonzero((marked[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1))
+                            found.append(np.stack([np.searchsorted(np.cumsum(sizes), hit, side="right"), hashed[hit].view(np.int64)]))
+                        pairs = np.concatenate(found, axis=1)
+                        pairs = np.unique(pairs, axis=1) if pairs.size else pairs
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0])), batch.column(1).take(pa.array(pairs[0])), pa.array(pairs[1])], names=["origin", "row_id", "gram"])
 
         def automaton(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,11 +292,11 @@ class SecretScan:
                 yield pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(arrays, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["origin", "row_id", "secret"])
 
         hits = self.texts.select("origin", "row_id", "text").mapInArrow(grams, "origin string, row_id long, gram long")
-        listed = hits.join(broadcast_if_small(self.secrets.where("gram <> 0")), "gram").groupBy("origin", "row_id").agg(F.collect_set("secret").alias("secrets"))
+        listed = hits.join(broadcast_if_small(self.secrets.select("gram", "secret")), "gram").groupBy("origin", "row_id").agg(F.collect_set("secret").alias("secrets"))
         located = self.texts.select("origin", "row_id", "text").join(broadcast_if_small(materialize(listed, "listed"), 10_000), ["origin", "row_id"])
         scanned = located.select("origin", "row_id", "text", "secrets").mapInArrow(automaton, "origin string, row_id long, secret string")
-        # secrets too short for a gram stand where they were found
-        short = self.literals.join(self.secrets.where("gram = 0").select(F.col("secret").alias("literal")), "literal").select("origin", "row_id", F.col("literal").alias("secret"))
+        # short secrets also stand where they were found, whatever is next to them
+        short = self.literals.join(self.secrets.where("width < 8").select(F.col("secret").alias("literal")), "literal").select("origin", "row_id", F.col("literal").alias("secret"))
         return scanned.union(short).distinct()
 
     def redacted(self, mark: str = "*") -> DataFrame:

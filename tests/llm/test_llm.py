@@ -239,6 +239,14 @@ def test_a_secret_in_a_very_long_text(spark):
     assert [r.secret for r in secrets.SecretScan(frame).occurrences().collect()] == ["Qm81kZt27LpXw94c"]
 
 
+def test_short_secrets_are_found_everywhere(spark):
+    rows = [("docs", 1, "o", 'password = "hT5!vb"'), ("docs", 2, "o", "pw: Qm8#kZ2"), ("docs", 3, "p", "log: tried hT5!vb, then Qm8#kZ2"), ("docs", 4, "p", "xhT5!vbx"), ("docs", 5, "p", 'token = "Zx9kQ27LmPq81VbT"'), ("docs", 6, "p", "hT5!vb")]
+    scan = secrets.SecretScan(spark.createDataFrame(rows, "origin string, row_id long, owner string, text string"))
+    assert {(r.row_id, r.secret) for r in scan.occurrences().collect()} == {(1, "hT5!vb"), (2, "Qm8#kZ2"), (3, "hT5!vb"), (3, "Qm8#kZ2"), (5, "Zx9kQ27LmPq81VbT"), (6, "hT5!vb")}
+    texts = {r.row_id: r.text for r in scan.redacted().collect()}
+    assert texts[3] == "log: tried ******, then *******" and texts[6] == "******"
+
+
 def test_every_trigger_keeps_the_two_lines_after_it():
     text = "env:\n- name: DB_PASSWORD\n  value: hT5!vbnQ2x\n- name: API_TOKEN\n  value: Zx9kQ27LmPq8\n- name: OTHER\n  value: 12\nfar\naway\n"
     assert {"hT5!vbnQ2x", "Zx9kQ27LmPq8"} <= secrets.literals(text)
