@@ -108,9 +108,11 @@ def _trim(value: str) -> str:
 _TRIGGERS = (
     "pass", "pwd", "pw", "kennwort", "contrase", "clave", "senha", "haslo", "hasło", "wachtwoord", "пароль", "secret", "token", "credential",
     *(a + sep + "key" for a in ("api", "access", "private", "signing", "encryption", "storage", "account", "master", "auth", "service", "deploy", "license", "session", "shared", "client", "webhook", "server") for sep in ("", "_", ".", "-")),
-    "://", ":/", "%3a%2f%2f", "?sig", "&sig", ";sig", "?key=", "&key=", ";key=", "?auth=", "&auth=", "?code=", "&code=", "bearer", "basic", " -u ", "\t-u ", "--user", "identified", "connect", "login", "authenticate", "dial", "open", "auth",
-    "redis-cli", "mongo", "mysql", "docker", "gho_", "ghp_", "ghs_", "ghu_", "github_pat_", "glpat-", "akia", "asia", "xox", "aiza", "sk_live_", "sk_test_", "sk-", "npm_", "hvs.", "eyj",
+    "://", ":/", "%3a%2f%2f", "?sig", "&sig", ";sig", "?key=", "&key=", ";key=", "?auth=", "&auth=", "?code=", "&code=", "bearer", "basic", *(a + "-u" + b for a in " \t" for b in " \t="), "--user", "identified", "connect", "login", "authenticate", "dial", "open", "auth",
+    "7z", "zip", "redis-cli", "mongo", "mysql", "docker", "gho_", "ghp_", "ghs_", "ghu_", "github_pat_", "glpat-", "akia", "asia", "xox", "aiza", "sk_live_", "sk_test_", "sk-", "npm_", "hvs.", "eyj",
 )
+#: Letters that patterns without letter case take for ASCII ones; without the first of them lower() keeps lengths.
+_FOLDED = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k"))
 _MACHINE: list = []
 
 
@@ -124,9 +126,10 @@ def _near_triggers(text: str) -> str:
             machine.add_word(word, len(word))
         machine.make_automaton()
         _MACHINE.append(machine)
-    out, line = [], 0
-    lower = text.lower() if len(text.lower()) == len(text) else text
-    for end, _ in _MACHINE[0].iter(lower):
+    out, line, folded = [], 0, text
+    for letter, plain in () if text.isascii() else _FOLDED:
+        folded = folded.replace(letter, plain)
+    for end, _ in _MACHINE[0].iter(folded.lower()):
         if end < line:  # the line of the trigger before
             continue
         first = text.rfind("\n", 0, end) + 1
