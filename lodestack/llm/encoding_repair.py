@@ -204,11 +204,12 @@ def fit(records: DataFrame, text_col: str = "text", sample_rows: int = 1500) ->
 def _options(passage: str, model: Model, hints: list[int]) -> dict[int, tuple[float, str]]:
     """The chains that may have garbled a passage, each with the gain of undoing it and the restored passage."""
     runs = _FOREIGN.findall(passage)
-    if len(_QUOTED.findall(passage)) == len(runs):
-        return {}  # no characters, or only quoted ones: a description
+    quoted = len(_QUOTED.findall(passage)) == len(runs)
+    if not runs or (quoted and not hints):
+        return {}  # no characters, or only quoted ones: a description, unless the record is garbled elsewhere
     score, clean = model.scores(passage), model.cleanness(passage)
     out = {}
-    for kind in {*np.argsort(score)[::-1][:8].tolist(), *hints} - {CLEAN}:
+    for kind in {*([] if quoted else np.argsort(score)[::-1][:8].tolist()), *hints} - {CLEAN}:
         if score[kind] <= score[CLEAN] and kind not in hints:
             continue
         fixed = restore(passage, CHAINS[kind - 1])
@@ -226,7 +227,8 @@ def mend(text: str, model: Model) -> tuple[str | None, str]:
 
     The chain is '' for a text that is not garbled.  One chain is sought for the whole record: the one
     whose undoing gains most over all passages.  Passages that it does not fit may have another one.
-    A paragraph that no chain fits as a whole is tried line by line.
+    A paragraph that no chain fits as a whole is tried line by line.  Quoted characters alone prove no
+    chain and no loss, as they may describe one, but they share in what the rest of the record proves.
     """
     if any("�" in _QUOTED.sub("", part) for part in _passages(text)[::2]):
         return None, "lost"
@@ -249,7 +251,8 @@ def mend(text: str, model: Model) -> tuple[str | None, str]:
             if best in option:
                 parts[i], options[i] = option[best][1], {}
     chain = "|".join(">".join(f"{w}>{r}" for w, r in CHAINS[k - 1]) for k in used)
-    return "".join(parts), chain
+    whole = "".join(parts)
+    return (None, "lost") if used and "�" in whole else (whole, chain)
 
 
 def garbled_records(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None, *, sample_rows: int = 1500) -> DataFrame:

@@ -198,6 +198,18 @@ def test_garbled_records(spark):
     assert er.garbled_records(frame.limit(0), "id", "text").count() == 0
 
 
+def test_quoted_characters_follow_the_record(spark):
+    frame = spark.createDataFrame([(i, f"{t} {k} {CLEAN_TEXTS[(k + 1) % 6]}") for k in range(20) for i, t in enumerate(CLEAN_TEXTS, k * 6)], "id long, text string")
+    model = er.fit(frame, "text")
+    for chain in ((("utf-8", "cp1252"),), (("utf-8", "cp437"),)):
+        plain = f'{CLEAN_TEXTS[0]} {CLEAN_TEXTS[3]}\n\nprint("номер")\nunit = "€"\n\nname = "fünf"'
+        wrong = er.garble(plain, chain)
+        assert er.mend(wrong, model)[0] == plain
+        assert er.mend(wrong.replace("name", 'lost = "�"\nname'), model) == (None, "lost")
+    for text in ('The export shows "Ã¼" in every line.', 'print("�")', f'{CLEAN_TEXTS[0]}\n\nshown as "Ã¼" or "�"'):
+        assert er.mend(text, model) == (text, "")
+
+
 # ---- secrets
 
 SECRETS = {
