@@ -35,7 +35,11 @@ def p4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.where("n_docs > 2").select("n", "term", "n_total", "n_docs", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_terms, p4_phrases)}
+def p4_all_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked_terms(load(spark, sf_dir, "bench_docs"), "id", "text", "harvested_at", max_n=3).select("n", "term", "n_total", "n_docs", "mark")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_terms, p4_phrases, p4_all_phrases)}
 
 _SIMILAR = """
 WITH RECURSIVE t AS (SELECT id, max(text) AS text FROM code_chunks WHERE text IS NOT NULL GROUP BY id),

@@ -50,3 +50,11 @@ def test_one_term_in_every_record_and_a_very_long_text(spark):
     frame = spark.createDataFrame([(i, "hot") for i in range(3000)] + [(5000, "hot cold " * 100_000)], "id long, text string")
     got = {r.term: (r.n_total, r.n_docs) for r in marked_terms(frame, "id", "text").collect()}
     assert got == {"hot": (103_000, 3001), "cold": (100_000, 1)}
+
+
+def test_all_phrases_keep_the_rare_ones(spark, tmp_path):
+    from lodestack.plans.corpus_queries import QUERIES
+
+    spark.createDataFrame([(1, "red lamp on", 1), (2, "red lamp off", 1), (3, "red lamp", 1)], "id long, text string, harvested_at long").write.parquet(f"{tmp_path}/bench_docs.parquet")
+    got = {(r.n, r.term): (r.n_total, r.n_docs) for r in QUERIES["p4_all_phrases"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "red"): (3, 3), (1, "lamp"): (3, 3), (1, "on"): (1, 1), (1, "off"): (1, 1), (2, "red lamp"): (3, 3), (2, "lamp on"): (1, 1), (2, "lamp off"): (1, 1), (3, "red lamp on"): (1, 1), (3, "red lamp off"): (1, 1)}
