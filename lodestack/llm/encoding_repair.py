@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.operators.term_frequency import latest_records
+from lodestack.operators.records import latest_records
 
 #: Single-byte encodings with which UTF-8 is misread.
 MISREADERS = ("cp1252", "cp1250", "cp1251", "cp1254", "cp1257", "iso8859_2", "iso8859_5", "iso8859_15", "koi8_r", "cp437", "cp850", "cp852", "cp866", "mac_roman", "mac_cyrillic")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import encoding_repair, handwritten, packing, shared_spans
+from lodestack.llm import corpus_queries, encoding_repair, handwritten, packing, shared_spans
 from lodestack.llm.mixing import Mixture
 from lodestack.llm.secrets import SecretScan
 from lodestack.session import load, materialize
@@ -86,8 +86,8 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.maximal_spans(shared_spans.shared_intervals(load(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_reasons, p5_found, p5_chains, p6_pack, p6_fill, p7_mix, p7_selection, p7_shares, p7_budget_shares, p7_exact_mix, p7_exact_shares, p8_found, p8_spans)}
-ORACLE: dict[str, str] = {
+QUERIES = corpus_queries.QUERIES | {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_reasons, p5_found, p5_chains, p6_pack, p6_fill, p7_mix, p7_selection, p7_shares, p7_budget_shares, p7_exact_mix, p7_exact_shares, p8_found, p8_spans)}
+ORACLE: dict[str, str] = corpus_queries.ORACLE | {
     "p8_found": """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
 w AS (SELECT doc_id, s, hash(substring(text, s + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS s FROM d)),
 g AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),

@@ -321,3 +321,16 @@ def test_foreign_names_in_a_small_language(spark):
     frame = spark.createDataFrame(rows, "page_index int, source_path string, text string, language_id int")
     got = {r.page_index: set(r.reasons) for r in handwritten.file_reasons(frame).collect()}
     assert {k: v for k, v in got.items() if v} == {100: {"vendored"}}
+
+
+@pytest.mark.parametrize("name", ["p3_found", "p4_found"])
+def test_query_equals_sql(spark, name):
+    from pathlib import Path
+
+    import __spark_entry__ as entry
+    from tests.compare import difference, duck
+
+    small = "/root/testdata/sf0.001"
+    if not Path(small).exists():
+        pytest.skip("the given tables are not here")
+    assert difference(spark, duck(small), name, entry.queries()[name], entry.oracle_sql()[name], small) == ""
