@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tests.compare import difference, duck
 
 SMALL = "/root/testdata/sf0.001"
-CHEAP = ["bm25_search", "p3_found", "p4_found", "rerank_topk", "token_ids", "stream_event_windows", "serving_search", "append_upsert"]
+CHEAP = ["bm25_search", "rerank_topk", "token_ids", "stream_event_windows", "serving_search", "append_upsert"]
 
 
 def test_every_sql_has_a_query():
@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, name):
 
 def test_the_core_does_not_import_the_subpackage():
     root = Path(__file__).resolve().parents[1]
-    code = "import sys; import lodestack.plans.store_queries, lodestack.plans.evaluation_queries, lodestack.plans.corpus_queries; assert not any(m.startswith('lodestack.llm') for m in sys.modules)"
+    code = "import sys; import lodestack.plans.store_queries, lodestack.plans.evaluation_queries; assert not any(m.startswith('lodestack.llm') for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
 
 
