@@ -20,8 +20,8 @@ _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _WRITTEN: dict[str, list[str]] = {}
 
-#: Rows of one or two numbers that may be broadcast after they have been counted.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that may be broadcast after they have been measured.
+BROADCAST_BYTES = 32 << 20
 
 
 def build_session(app: str = "lodestack", master: str | None = None, **conf: str) -> SparkSession:
@@ -91,9 +91,23 @@ def clear_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of narrow rows only after counting at most ``limit`` of them.
+def measured_bytes(df: DataFrame) -> int:
+    """The bytes that the rows of ``df`` take in memory, by one aggregate over it."""
+    total = F.lit(16 + 8 * len(df.columns)).cast("long")
+    for field in df.schema.fields:
+        kind, column = field.dataType.simpleString(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith("array<") and kind[6:-1] in ("int", "bigint", "float", "double"):
+            total = total + 8 * F.coalesce(F.size(column), F.lit(0))
+        elif kind.startswith(("array<", "map<", "struct<")):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return df.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
 
-    ``df`` should be cheap to count, i.e. materialized.  Larger inputs keep the shuffle join.
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of ``df`` only after measuring at most ``limit`` bytes; larger ones keep the shuffle join.
+
+    ``df`` is read twice, so it should be a table that is written already (:func:`materialize`) or a small one.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
