@@ -93,4 +93,10 @@ w AS (SELECT doc_id, s, hash(substring(text, s + 1, 200)) AS h FROM (SELECT doc_
 g AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
 i AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM w WHERE h IN (SELECT h FROM g))
 SELECT doc_id, sum(least(200, coalesce(s - p, 200)))::BIGINT AS shared_chars FROM i GROUP BY doc_id""",
+    "p8_spans": """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
+w AS (SELECT doc_id, s, hash(substring(text, s + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS s FROM d)),
+g AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+i AS (SELECT doc_id, s, s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -999) + 200 AS opens FROM w WHERE h IN (SELECT h FROM g)),
+n AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM i)
+SELECT doc_id, min(s) AS first, max(s) + 200 AS last FROM n GROUP BY doc_id, island""",
 }

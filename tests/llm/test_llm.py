@@ -48,7 +48,7 @@ def test_shared_chars_equal_brute_force(spark, seed, hot):
     texts = span_corpus(seed)
     rows = [(i, t, 1, 2) for i, t in texts.items()] + [(None, "x" * 100, 1, 2), (500, None, None, None)]
     frame = spark.createDataFrame(rows, "id long, text string, doc_id long, anchor long")
-    spans = shared_spans.shared_intervals(frame, "id", "text", min_chars=40, gram=16, cells=1 << 18, hot_anchor=hot)
+    spans = shared_spans.shared_intervals(frame, "id", "text", min_chars=40, gram=16, hot_anchor=hot)
     assert {r.doc_id: r.shared_chars for r in shared_spans.shared_chars(spans).collect()} == brute_shared(texts, 40)
     total = {r.doc_id: r.n for r in shared_spans.maximal_spans(spans).groupBy("doc_id").agg(F.sum(F.col("last") - F.col("first")).alias("n")).collect()}
     assert total == brute_shared(texts, 40)
@@ -57,7 +57,7 @@ def test_shared_chars_equal_brute_force(spark, seed, hot):
 def test_a_crowded_sketch_loses_nothing(spark):
     texts = span_corpus(5)
     frame = spark.createDataFrame(list(texts.items()), "id long, text string")
-    spans = shared_spans.shared_intervals(frame, "id", "text", min_chars=40, gram=16, cells=64)
+    spans = shared_spans.shared_intervals(frame, "id", "text", min_chars=40, gram=16, cells=64, cells_per_anchor=1)
     assert {r.doc_id: r.shared_chars for r in shared_spans.shared_chars(spans).collect()} == brute_shared(texts, 40)
 
 
@@ -66,13 +66,34 @@ def test_a_third_of_the_records_are_copies(spark):
     texts = {i: "".join(pick.choice("abcdefgh ") for _ in range(120)) for i in range(60)}
     texts |= {100 + i: "the same passage in every one of these records, word for word, letter for letter" for i in range(30)}
     frame = spark.createDataFrame(list(texts.items()), "id long, text string")
-    spans = shared_spans.shared_intervals(frame, "id", "text", min_chars=40, gram=16, cells=1 << 18, hot_anchor=5)
+    spans = shared_spans.shared_intervals(frame, "id", "text", min_chars=40, gram=16, hot_anchor=5)
+    assert {r.doc_id: r.shared_chars for r in shared_spans.shared_chars(spans).collect()} == brute_shared(texts, 40)
+
+
+@pytest.mark.parametrize("records", [40, 400])
+def test_few_unshared_anchors_pass_the_sketch_at_any_size(spark, records):
+    pick = random.Random(records)
+    texts = [(i, "".join(pick.choice("abcdefghijklmnop ") for _ in range(1500))) for i in range(records)]
+    anchors = shared_spans.anchor_table(spark.createDataFrame(texts, "id long, text string"), 40, 16)
+    passed = shared_spans.repeated_anchors(anchors, cells=1 << 10).collect()
+    assert all(r.a == r.b for r in passed) and len(passed) < 0.05 * anchors.count()
+
+
+def test_unequal_spans_of_one_hash_are_told_apart(spark, monkeypatch):
+    class Zero(shared_spans._Hasher):
+        def __call__(self, points, length):
+            return super().__call__(points, length) if length < 40 else np.zeros(len(points) - length + 1, np.uint64)
+
+    texts = span_corpus(7)
+    monkeypatch.setattr(shared_spans, "_Hasher", Zero)
+    frame = spark.createDataFrame(list(texts.items()), "id long, text string")
+    spans = shared_spans.shared_intervals(frame, "id", "text", min_chars=40, gram=16)
     assert {r.doc_id: r.shared_chars for r in shared_spans.shared_chars(spans).collect()} == brute_shared(texts, 40)
 
 
 def test_no_records_share_nothing(spark):
     frame = spark.createDataFrame([], "id long, text string")
-    assert shared_spans.shared_chars(shared_spans.shared_intervals(frame, "id", "text", cells=1 << 18)).count() == 0
+    assert shared_spans.shared_chars(shared_spans.shared_intervals(frame, "id", "text")).count() == 0
 
 
 # ---- packing and mixing
