@@ -152,9 +152,36 @@ def test_schedule_is_never_a_block_off(blocks):
             assert abs(seen[s] * total - slot * n) < total
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdefghijkl"), st.one_of(st.integers(1, 60), st.integers(1, 3)), min_size=1), st.integers(1, 17))
+def test_epochs_scheduled_apart_are_never_a_block_off(blocks, epoch):
+    total = sum(blocks.values())
+    order = [x for first in range(0, total, epoch) for x in earliest_deadline_first(blocks, first, first + epoch)]
+    seen = Counter()
+    assert len(order) == total
+    for slot, (source, j) in enumerate(order, 1):
+        assert seen[source] == j
+        seen[source] += 1
+        for s, n in blocks.items():
+            assert abs(seen[s] * total - slot * n) < total
+
+
+def test_slots_of_a_mixture_run_through_all_epochs(spark):
+    targets = spark.createDataFrame([(1, "big", 0.5, 2), (1, "s1", 0.3, 3), (1, "s2", 0.2, 3)], "mix_id int, source string, target_weight double, max_repeats int")
+    mix = Mixture(docs(spark), targets, budget_share=1.0, block_tokens=16, epoch_slots=7)
+    slots = sorted((r.slot, r.source, r.block) for r in mix.schedule().collect())
+    assert [s for s, _, _ in slots] == list(range(len(slots))) and len(slots) > 70
+    seen = Counter()
+    totals = Counter(s for _, s, _ in slots)
+    for slot, source, block in slots:
+        assert block == seen[source]
+        seen[source] += 1
+        assert all(abs(seen[s] * len(slots) - (slot + 1) * n) < len(slots) for s, n in totals.items())
+
+
 def test_mixture_keeps_weights_and_limits(spark):
     targets = spark.createDataFrame([(1, "big", 0.5, 1), (1, "s1", 0.5, 3), (2, "big", 3.0, 2), (2, "nowhere", 1.0, 5), (3, "s2", -1.0, 2), (3, None, 1.0, 1), (4, "s3", 1.0, 0), (5, "s4", 1.0, 2), (5, "s4", 1.0, 3)], "mix_id int, source string, target_weight double, max_repeats int")
-    mix = Mixture(docs(spark), targets, slots=256, bucket_rows=10)
+    mix = Mixture(docs(spark), targets, block_tokens=64, epoch_slots=16, bucket_rows=10)
     shares = {(r.mix_id, r.source): r for r in mix.shares().collect()}
     assert abs(shares[1, "big"].share - 0.5) < 0.01 and abs(shares[2, "big"].share - 1.0) < 1e-9
     assert shares[2, "nowhere"].tokens == shares[3, "s2"].tokens == shares[4, "s3"].tokens == 0
