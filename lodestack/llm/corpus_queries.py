@@ -39,7 +39,12 @@ def p4_all_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked_terms(load(spark, sf_dir, "bench_docs"), "id", "text", "harvested_at", max_n=3).select("n", "term", "n_total", "n_docs", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_terms, p4_phrases, p4_all_phrases)}
+def p4_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All n-grams of up to five terms with their marks."""
+    return marked_terms(load(spark, sf_dir, "bench_docs"), "id", "text", "harvested_at", max_n=5).select("n", "term", "n_total", "n_docs", "mark")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_terms, p4_phrases, p4_all_phrases, p4_ngrams)}
 
 _SIMILAR = """
 WITH RECURSIVE t AS (SELECT id, max(text) AS text FROM code_chunks WHERE text IS NOT NULL GROUP BY id),
@@ -60,6 +65,14 @@ _ONE = _TERMS + """
 c AS (SELECT term, count(*) AS n_total, count(DISTINCT id) AS n_docs FROM (SELECT id, unnest(w) AS term FROM w) GROUP BY term),
 m AS (""" + _MARKS + "FROM c)"
 
+
+def _grams(most: int) -> str:
+    """SQL of all n-grams of up to ``most`` terms."""
+    spelled = [" || ' ' || ".join(f"w[i+{k}]" for k in range(n)) for n in range(1, most + 1)]
+    parts = [f"SELECT id, unnest(list_transform(range(1, len(w) + {2 - n}), lambda i: {t})) AS term, {n} AS n FROM w" for n, t in enumerate(spelled, 1)]
+    return _TERMS + "g AS (" + " UNION ALL ".join(parts) + "), c AS (SELECT n, term, count(*) AS n_total, count(DISTINCT id) AS n_docs FROM g GROUP BY n, term)" + _MARKS.replace("SELECT term", "SELECT n::INT AS n, term") + "FROM c"
+
+
 ORACLE = {
     "p3_found": _SIMILAR + "SELECT id_a, id_b FROM p",
     "p3_groups": _SIMILAR
@@ -77,4 +90,5 @@ c AS (SELECT n, term, count(*) AS n_total, count(DISTINCT id) AS n_docs FROM g G
 """
     + _MARKS.replace("SELECT term", "SELECT n::INT AS n, term")
     + "FROM c",
+    "p4_ngrams": _grams(5),
 }

@@ -9,11 +9,12 @@ from lodestack.llm.term_frequency import TERM_PATTERN, interval_counts, marked_t
 TEXTS = ["the cat the cat the dog", "the dog the cat", "Ångström ÅNGSTRÖM a x×y naïve", "", "zz zz zz zz", "the cat the cat the dog"]
 
 
-def brute(texts, max_n):
+def brute(texts, max_n=None):
     total, docs = Counter(), Counter()
+    deepest = max_n or max((len(re.findall(TERM_PATTERN, t)) for t in texts), default=0)
     for text in texts:
         words = [w.lower() for w in re.findall(TERM_PATTERN, text)]
-        grams = [" ".join(words[i : i + n]) for n in range(1, max_n + 1) for i in range(len(words) - n + 1)]
+        grams = [" ".join(words[i : i + n]) for n in range(1, deepest + 1) for i in range(len(words) - n + 1)]
         total.update(grams)
         docs.update(set(grams))
     return {g: (total[g], docs[g]) for g in total}
@@ -23,10 +24,12 @@ def test_counts_equal_brute_force(spark):
     frame = spark.createDataFrame([(t, "n") for t in [*TEXTS, None]], "text string, term string")
     got = {r.term: (r.n_total, r.n_docs) for r in ngram_counts(frame, "text", 4).collect()}
     assert got == brute(TEXTS, 4)
+    got = {r.term: (r.n_total, r.n_docs) for r in ngram_counts(frame, "text", None).collect()}
+    assert got == brute(TEXTS)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab ", max_size=30), max_size=8), st.integers(1, 5))
+@given(st.lists(st.text("ab ", max_size=30), max_size=8), st.one_of(st.none(), st.integers(1, 5)))
 def test_suffix_intervals(texts, max_n):
     texts = [re.sub("([ab])", r"\1\1", t) for t in texts]
     codes, record, terms = term_codes(texts, re.compile(TERM_PATTERN))
