@@ -12,8 +12,8 @@ from lodestack.session import load, materialize
 
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> SecretScan:
-    docs = load(spark, sf_dir, "bench_docs").select(F.lit("bench_docs").alias("origin"), F.col("id").alias("row_id"), F.col("collection").alias("owner"), "text")
-    entries = load(spark, sf_dir, "pack_entries").select(F.lit("pack_entries").alias("origin"), F.col("entry_id").alias("row_id"), F.col("pack_id").cast("string").alias("owner"), F.col("source").alias("text"))
+    docs = load(spark, sf_dir, "bench_docs").select(F.lit("bench_docs").alias("origin"), F.col("id").alias("row_id"), F.col("collection").alias("owner"), "text", F.col("harvested_at").alias("at"))
+    entries = load(spark, sf_dir, "pack_entries").select(F.lit("pack_entries").alias("origin"), F.col("entry_id").alias("row_id"), F.col("pack_id").cast("string").alias("owner"), F.col("source").alias("text"), F.col("received_at").alias("at"))
     return SecretScan(docs.union(entries), path_origins=("pack_entries",))
 
 

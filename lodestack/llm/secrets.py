@@ -5,10 +5,12 @@
    the owner it was seen at.  One row per literal and owner goes into the shuffle.
 2. A literal that many owners share is a placeholder.  A rare one is confirmed if its structure is
    that of a credential: no reference, template, mask, hash, name or plain word.
-3. Every text is scanned again for the confirmed secrets, wherever they stand.  Eight characters from
-   the middle of each secret (six of one with six or seven) are marked in a bit map of fixed size, one
-   per width; texts are first tested against these, then joined with the secrets they may hold, and an Aho-Corasick automaton over these finds
-   the exact places.
+3. Every text is scanned again for the confirmed secrets, wherever they stand, and every row of the
+   result comes from there.  Sixteen characters from the middle of each secret (eight or six of a shorter
+   one) go into a Bloom filter that has sixteen bits for each; texts are first tested against it, then
+   joined with the secrets they may hold, and an Aho-Corasick automaton over these finds the exact places.
+   A filter is broadcast, so it has a greatest size; more secrets than it can hold are sought in several
+   passes over the texts, each for a share of the secrets.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ def credible(value: str) -> bool:
     if value.startswith("-----BEGIN"):
         body = re.sub(r"-----[^-]*-----|\\[nrt]|[\s\"'+#/*]", "", value)
         return len(body) >= 40 and not _PLACEHOLDER.search(value[:200].replace("\n", ""))
-    if not 6 <= len(value) <= 4096 or any(c.isspace() for c in value):
+    if len(value) < 6 or any(c.isspace() for c in value):
         return False
     if _ISSUED.fullmatch(value):
         return not re.search("x{5,}|example", value, re.IGNORECASE)
@@ -172,45 +174,79 @@ def literals(text: str, path: bool = False) -> set[str]:
 
 
 #: Characters of the grams; a secret has one of the greatest width that it can hold.
-_WIDTHS = (8, 6)
+_WIDTHS = (16, 8, 6)
+#: Bits of the filter for each gram, and how many of them a gram sets; about one other gram in 400 passes.
+_BITS_EACH, _HASHES = 16, 4
+#: Bits of a filter that are put together in one task.
+_BLOCK = 1 << 18
 
 
 def _middle(secret: str) -> str:
     width = next(w for w in _WIDTHS if len(secret) >= w)
-    at = max(0, len(secret) // 2 - width // 2)
+    at = len(secret) // 2 - width // 2
     return secret[at : at + width]
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _gram_hashes(points: np.ndarray, width: int = 8) -> np.ndarray:
-    """A 64-bit hash of every run of ``width`` code points."""
-    n = max(len(points) - width + 1, 0)
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out = (out ^ points[k : k + n]) * _ODD
-        out ^= out >> np.uint64(29)
-    return out
+def _stir(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _ODD
+    return x ^ (x >> np.uint64(29))
+
+
+def _gram_hashes(points: np.ndarray) -> dict[int, np.ndarray]:
+    """A 64-bit hash of every run of each width, from those of half the width."""
+    join = lambda left, right, width: _stir(left[: max(0, len(points) - width + 1)] * np.uint64(2 * width + 1) + right[: max(0, len(points) - width + 1)])
+    two = join(_stir(points), _stir(points[1:]), 2)
+    four = join(two, two[2:], 4)
+    eight = join(four, four[4:], 8)
+    return {6: join(four, two[4:], 6), 8: eight, 16: join(eight, eight[8:], 16)}
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
 def _gram_hash(gram: str) -> int:
     with np.errstate(over="ignore"):
-        return int(_gram_hashes(np.frombuffer(gram.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), len(gram))[0].view(np.int64))
+        return int(_gram_hashes(_points(gram))[len(gram)].view(np.int64)[0])
+
+
+def _filter_bits(hashed: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The bits that each gram sets, one array for each of the hashes."""
+    step = (hashed >> np.uint64(32)) | np.uint64(1)
+    for k in range(_HASHES):
+        yield (_stir(hashed) + np.uint64(k) * step) & np.uint64(bits - 1)
+
+
+def spans_of(text: str, machine) -> list[tuple[int, int]]:  # noqa: ANN001
+    """Where the automaton's secrets stand in ``text``: whole literals only, and none inside a longer one."""
+    out, covered = [], 0
+    for a, b in sorted(((end - n + 1, end + 1) for end, n in machine.iter(text)), key=lambda s: (s[0], -s[1])):
+        inner = b <= covered
+        covered = max(covered, b)
+        escaped = text[max(0, a - 2) : a] in ("\\n", "\\t", "\\r") or text[max(0, a - 3) : a].upper() in ("%3A", "%2F", "%3D")
+        if not (inner or (a and text[a - 1].isalnum() and text[a].isalnum() and not escaped) or (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())):
+            out.append((a, b))
+    return out
 
 
 class SecretScan:
     """The confirmed secrets of a collection and where they stand.
 
-    ``texts`` holds ``origin STRING, row_id BIGINT, owner STRING, text STRING``; ``path_origins`` are
-    the origins whose texts are paths.  Rows repeated under one origin and id count once.  Null and
-    empty texts hold nothing; an empty table gives an empty result.
+    ``texts`` holds ``origin STRING, row_id BIGINT, owner STRING, text STRING`` and may hold ``at``;
+    ``path_origins`` are the origins whose texts are paths.  Of rows repeated under one origin and id the one
+    with the greatest ``at`` counts (ties: the greater text).  Null and empty texts hold nothing; an empty
+    table gives an empty result.  A literal with blanks in it is taken for prose, whatever its name.
     """
 
-    def __init__(self, texts: DataFrame, path_origins: tuple[str, ...] = (), *, placeholder_owners: int = 8, map_bits: int = 1 << 26):
+    def __init__(self, texts: DataFrame, path_origins: tuple[str, ...] = (), *, placeholder_owners: int = 8, map_bits: int = 1 << 28):
         self.map_bits = map_bits
-        rows = texts.select("origin", F.col("row_id").cast("long").alias("row_id"), "owner", "text").where("row_id is not null and text is not null and text <> ''")
-        self.texts = materialize(rows.groupBy("origin", "row_id").agg(F.max(F.struct("text", "owner")).alias("r")).select("origin", "row_id", F.coalesce("r.owner", F.lit("")).alias("owner"), "r.text"), "texts")
+        at = F.col("at") if "at" in texts.columns else F.lit(None)
+        rows = texts.select("origin", F.col("row_id").cast("long").alias("row_id"), "owner", "text", at.cast("timestamp").alias("at")).where("row_id is not null and text is not null and text <> ''")
+        self.texts = materialize(rows.groupBy("origin", "row_id").agg(F.max(F.struct("at", "text", "owner")).alias("r")).select("origin", "row_id", F.coalesce("r.owner", F.lit("")).alias("owner"), "r.text"), "texts")
+        self._secrets_of: DataFrame | None = None
 
         def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -228,94 +264,126 @@ class SecretScan:
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 kept = [v for v in batch.column(0).to_pylist() if credible(v)]
-                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([_gram_hash(_middle(v)) for v in kept], pa.int64()), pa.array([len(_middle(v)) for v in kept], pa.int32())], names=["secret", "gram", "width"])
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([_gram_hash(_middle(v)) for v in kept], pa.int64())], names=["secret", "gram"])
 
         rare = owners.where(F.col("owners") < placeholder_owners).select("literal")
-        self.secrets = materialize(rare.mapInArrow(confirm, "secret string, gram long, width int"), "secrets")
-
-    def _bit_map(self, width: int) -> np.ndarray | None:
-        """Which gram hashes of one width occur among the secrets; ``map_bits / 8`` bytes, whatever the input. None if no secret has that width."""
-        held = self.secrets.where(F.col("width") == width)
-        if held.isEmpty():
-            return None
-        words = held.select(F.pmod("gram", F.lit(self.map_bits)).alias("cell"))
-        words = words.groupBy(F.expr("shiftright(cell, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell % 64 AS INT))")).alias("bits"))
-        out = np.zeros(self.map_bits // 64, np.int64)
-        for row in words.toLocalIterator():
-            out[row.word] = row.bits
-        return out.view(np.uint64)
+        self.secrets = materialize(rare.mapInArrow(confirm, "secret string, gram long"), "secrets")
 
-    def occurrences(self) -> DataFrame:
-        """``(origin, row_id, secret)``, distinct: every confirmed secret in every text."""
-        bits = self.texts.sparkSession.sparkContext.broadcast({w: m for w in _WIDTHS if (m := self._bit_map(w)) is not None})
-        size = self.map_bits
+    def _filter(self, secrets: DataFrame, bits: int) -> np.ndarray:
+        """The Bloom filter of the grams of ``secrets``, put together block by block in tasks; ``bits / 8`` bytes."""
 
-        def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
-                for whole in batches:
-                    for start in range(0, whole.num_rows, 500):
-                        batch = whole.slice(start, 500)
-                        texts = batch.column(2).to_pylist()
-                        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-                        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-                        found = [np.zeros((2, 0), np.int64)]
-                        for width, marked in bits.value.items():
-                            hashed = _gram_hashes(points, width)
-                            cell = np.mod(hashed.view(np.int64), size).astype(np.uint64)
-                            hit = np.flatnonzero((marked[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1))
-                            found.append(np.stack([np.searchsorted(np.cumsum(sizes), hit, side="right"), hashed[hit].view(np.int64)]))
-                        pairs = np.concatenate(found, axis=1)
-                        pairs = np.unique(pairs, axis=1) if pairs.size else pairs
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0])), batch.column(1).take(pa.array(pairs[0])), pa.array(pairs[1])], names=["origin", "row_id", "gram"])
-
-        def automaton(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
+                for batch in batches:
+                    hashed = np.asarray(batch.column(0)).view(np.uint64)
+                    at = np.unique(np.concatenate(list(_filter_bits(hashed, bits)))).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(at // _BLOCK), pa.array((at % _BLOCK).astype(np.int32))], names=["block", "at"])
 
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
             for batch in batches:
-                origins, ids, texts, held = (c.to_pylist() for c in batch.columns)
-                machine = ahocorasick.Automaton()
-                for secrets in held:
-                    for secret in secrets:
-                        machine.add_word(secret, len(secret))
-                if not len(machine):
-                    continue
-                machine.make_automaton()
-                out = set()
-                for origin, i, text in zip(origins, ids, texts, strict=True):
-                    spans = sorted(((end - n + 1, end + 1) for end, n in machine.iter(text)), key=lambda s: (s[0], -s[1]))
-                    covered = 0
-                    for a, b in spans:
-                        # whole literals only, and none inside a longer one
-                        inner = b <= covered
-                        covered = max(covered, b)
-                        if inner or (a and text[a - 1].isalnum() and text[a].isalnum() and text[a - 2 : a] not in ("\\n", "\\t", "\\r") and text[max(0, a - 3) : a].upper() not in ("%3A", "%2F", "%3D")) or (b < len(text) and text[b].isalnum() and text[b - 1].isalnum()):
-                            continue
-                        out.add((origin, i, text[a:b]))
-                arrays = list(zip(*sorted(out), strict=True)) if out else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(arrays, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["origin", "row_id", "secret"])
-
-        hits = self.texts.select("origin", "row_id", "text").mapInArrow(grams, "origin string, row_id long, gram long")
-        listed = hits.join(broadcast_if_small(self.secrets.select("gram", "secret")), "gram").groupBy("origin", "row_id").agg(F.collect_set("secret").alias("secrets"))
-        located = self.texts.select("origin", "row_id", "text").join(broadcast_if_small(materialize(listed, "listed"), 10_000), ["origin", "row_id"])
-        scanned = located.select("origin", "row_id", "text", "secrets").mapInArrow(automaton, "origin string, row_id long, secret string")
-        # short secrets also stand where they were found, whatever is next to them
-        short = self.literals.join(self.secrets.where("width < 8").select(F.col("secret").alias("literal")), "literal").select("origin", "row_id", F.col("literal").alias("secret"))
-        return scanned.union(short).distinct()
+                block, at = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+                for b in np.unique(block).tolist():
+                    held.setdefault(b, np.zeros(_BLOCK, bool))[at[block == b]] = True
+                    for other in [x for x in held if x < b]:  # rows come sorted by block
+                        yield pa.RecordBatch.from_arrays([pa.array([other], pa.int64()), pa.array([np.packbits(held.pop(other)).tobytes()])], names=["block", "bits"])
+            for b, marked in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.packbits(marked).tobytes()])], names=["block", "bits"])
+
+        placed = secrets.select("gram").mapInArrow(place, "block long, at int").repartition("block").sortWithinPartitions("block")
+        out = np.zeros(max(bits, _BLOCK) // 8, np.uint8)
+        for block, packed in placed.mapInArrow(merge, "block long, bits binary").toLocalIterator():
+            out[block * _BLOCK // 8 : (block + 1) * _BLOCK // 8] = np.frombuffer(packed, np.uint8)
+        return out[: bits // 8]
+
+    def _hits(self) -> DataFrame:
+        """``(origin, row_id, gram)`` of all grams in texts that pass the filter, by as many passes as filters."""
+        spark, count = self.texts.sparkSession, self.secrets.count()
+        passes = max(1, -(-count * _BITS_EACH // self.map_bits))
+        bits = 1 << max(10, (-(-count // passes) * _BITS_EACH - 1).bit_length())
+        share = lambda part: F.pmod(F.shiftrightunsigned("gram", 7), F.lit(passes)) == part
+        out = None
+        for part in range(passes):
+            marked = spark.sparkContext.broadcast(self._filter(self.secrets.where(share(part)), bits))
+
+            def grams(batches: Iterator[pa.RecordBatch], marked=marked) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+                with np.errstate(over="ignore"):
+                    for whole in batches:
+                        for start in range(0, whole.num_rows, 500):
+                            batch = whole.slice(start, 500)
+                            texts = batch.column(2).to_pylist()
+                            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+                            found = [np.zeros((2, 0), np.int64)]
+                            for hashed in _gram_hashes(_points("".join(texts))).values():
+                                hit = np.arange(len(hashed))
+                                for bit in _filter_bits(hashed, bits):
+                                    bit = bit[hit]
+                                    hit = hit[(marked.value[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1 == 1]
+                                found.append(np.stack([np.searchsorted(ends, hit, side="right"), hashed[hit].view(np.int64)]))
+                            pairs = np.concatenate(found, axis=1)
+                            pairs = np.unique(pairs, axis=1) if pairs.size else pairs
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0])), batch.column(1).take(pa.array(pairs[0])), pa.array(pairs[1])], names=["origin", "row_id", "gram"])
+
+            hits = self.texts.select("origin", "row_id", "text").mapInArrow(grams, "origin string, row_id long, gram long").where(share(part))
+            out = hits if out is None else out.union(hits)
+        return out
+
+    def _listed(self) -> DataFrame:
+        """``(origin, row_id, secrets)``: the secrets whose gram a text holds."""
+        if self._secrets_of is None:
+            listed = self._hits().join(broadcast_if_small(self.secrets), "gram").groupBy("origin", "row_id").agg(F.collect_set("secret").alias("secrets"))
+            self._secrets_of = materialize(listed, "listed")
+        return self._secrets_of
+
+    def spans(self) -> DataFrame:
+        """``(origin, row_id, first, last, secret)``: every place of every confirmed secret, by code points."""
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [(origin, i, a, b, text[a:b]) for origin, i, text, machine in _machines(batch) for a, b in spans_of(text, machine)]
+                arrays = list(zip(*out, strict=True)) if out else [()] * 5
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(arrays, kinds, strict=True)], names=["origin", "row_id", "first", "last", "secret"])
+
+        located = self.texts.select("origin", "row_id", "text").join(broadcast_if_small(self._listed()), ["origin", "row_id"])
+        return located.select("origin", "row_id", "text", "secrets").mapInArrow(scan, "origin string, row_id long, first long, last long, secret string")
+
+    def occurrences(self) -> DataFrame:
+        """``(origin, row_id, secret)``, distinct: every confirmed secret in every text."""
+        return self.spans().select("origin", "row_id", "secret").distinct()
 
     def redacted(self, mark: str = "*") -> DataFrame:
         """``(origin, row_id, text)`` of every text; each character of a secret but line breaks is ``mark``.
 
+        Only the places that :meth:`spans` gives are blanked, so the same letters inside another word stay.
         Lengths, quotes, line and column numbers stay as they were, so code still parses.
         """
-        found = self.occurrences().groupBy("origin", "row_id").agg(F.collect_set("secret").alias("secrets"))
 
         def blank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = []
-                for text, secrets in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    for secret in sorted(secrets or (), key=len, reverse=True):
-                        text = text.replace(secret, re.sub(r"[^\r\n]", mark, secret))
-                    texts.append(text)
+                for _, _, text, machine in _machines(batch):
+                    parts, last = [], 0
+                    for a, b in spans_of(text, machine) if machine is not None else ():
+                        parts += [text[last : max(a, last)], re.sub(r"[^\r\n]", mark, text[max(a, last) : b])]
+                        last = max(b, last)
+                    texts.append("".join([*parts, text[last:]]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["origin", "row_id", "text"])
 
-        return self.texts.select("origin", "row_id", "text").join(found, ["origin", "row_id"], "left").mapInArrow(blank, "origin string, row_id long, text string")
+        rows = self.texts.select("origin", "row_id", "text").join(broadcast_if_small(self._listed()), ["origin", "row_id"], "left")
+        return rows.select("origin", "row_id", "text", "secrets").mapInArrow(blank, "origin string, row_id long, text string")
+
+
+def _machines(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """``(origin, row_id, text, automaton)`` of each row, 500 rows sharing one automaton; None where no secret is sought."""
+    import ahocorasick
+
+    for start in range(0, batch.num_rows, 500):
+        origins, ids, texts, held = (c.to_pylist() for c in batch.slice(start, 500).columns)
+        machine = ahocorasick.Automaton()
+        for secret in {s for secrets in held for s in secrets or ()}:
+            machine.add_word(secret, len(secret))
+        if len(machine):
+            machine.make_automaton()
+        for origin, i, text, secrets in zip(origins, ids, texts, held, strict=True):
+            yield origin, i, text, machine if secrets else None

@@ -307,6 +307,32 @@ def test_short_secrets_are_found_everywhere(spark):
     assert texts[3] == "log: tried ******, then *******" and texts[6] == "******"
 
 
+def test_only_the_places_of_a_secret_are_blanked(spark):
+    rows = [("docs", 1, "o", 'user_token = "abc12x"\nx = gabc12xyz(abc12x9) + "abc12x"'), ("docs", 2, "p", "abc12x")]
+    scan = secrets.SecretScan(spark.createDataFrame(rows, "origin string, row_id long, owner string, text string"))
+    texts = {r.row_id: r.text for r in scan.redacted().collect()}
+    assert texts == {1: 'user_token = "******"\nx = gabc12xyz(abc12x9) + "******"', 2: "******"}
+    assert sorted((r.row_id, r.first, r.last) for r in scan.spans().collect()) == [(1, 14, 20), (1, 48, 54), (2, 0, 6)]
+
+
+def test_many_secrets_take_several_passes(spark):
+    pick = random.Random(3)
+    made = ["".join(pick.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(pick.choice([7, 9, 15, 16, 24, 60]))) + "7q" for _ in range(300)]
+    rows = [("docs", i, f"o{i}", f'line\npassword = "{s}"\n') for i, s in enumerate(made)] + [("docs", 1000 + i, "log", f"seen {s} here, not {s}x and x{s}") for i, s in enumerate(made)]
+    frame = spark.createDataFrame(rows, "origin string, row_id long, owner string, text string")
+    wanted = {(i + k, s) for i, s in enumerate(made) for k in (0, 1000) if secrets.credible(s)}
+    for bits in (1 << 28, 1 << 10):
+        assert {(r.row_id, r.secret) for r in secrets.SecretScan(frame, map_bits=bits).occurrences().collect()} == wanted and len(wanted) > 500
+
+
+def test_long_literals_and_the_latest_copy(spark):
+    pick = random.Random(4)
+    long = "".join(pick.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(6000))
+    rows = [("docs", 1, "o", f'token = "{long}"', "2024-01-02"), ("docs", 2, "o", 'token = "Zx9kQ27LmPq81VbT"', "2024-01-01"), ("docs", 2, "o", 'token = "Qm81kZt27LpXw94c"', "2024-02-01"), ("docs", 2, "o", "zz nothing", None)]
+    frame = spark.createDataFrame(rows, "origin string, row_id long, owner string, text string, at string")
+    assert {(r.row_id, r.secret) for r in secrets.SecretScan(frame).occurrences().collect()} == {(1, long), (2, "Qm81kZt27LpXw94c")}
+
+
 def test_every_trigger_keeps_the_two_lines_after_it():
     text = "env:\n- name: DB_PASSWORD\n  value: hT5!vbnQ2x\n- name: API_TOKEN\n  value: Zx9kQ27LmPq8\n- name: OTHER\n  value: 12\nfar\naway\n"
     assert {"hT5!vbnQ2x", "Zx9kQ27LmPq8"} <= secrets.literals(text)
