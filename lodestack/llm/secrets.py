@@ -53,12 +53,14 @@ _CALL = re.compile(r"\b(?:connect|login|authenticate|dial|open|auth)\w*\((?:[ \t
 _PRIVATE_KEY = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]*)PRIVATE KEY(?P<block> BLOCK)?-----(?:(?!-----BEGIN )[\s\S])*?-----END (?P=kind)PRIVATE KEY(?P=block)?-----|-----BEGIN (?P<kind2>[A-Z0-9 ]*)PRIVATE KEY-----(?:(?!-----BEGIN )[\s\S])*?-----END (?P=kind2)PRIVATE KEY-----")
 #: Credentials that their own form gives away.
 _ISSUED = re.compile(
-    r"(?<![A-Za-z0-9_])(?P<u1>gh[opsu]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|glpat-[\w\-]{20,}|A[KS]IA[0-9A-Z]{16}|xox[abeoprs]-[\w\-]{16,}|AIza[\w\-]{35}|sk_(?:live|test)_\w{16,}|sk-[\w\-]{32,}"
+    r"(?<![A-Za-z0-9])(?P<u1>gh[opsu]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|glpat-[\w\-]{20,}|A[KS]IA[0-9A-Z]{16}|xox[abeoprs]-[\w\-]{16,}|AIza[\w\-]{35}|sk_(?:live|test)_\w{16,}|sk-[\w\-]{32,}"
     r"|npm_\w{30,}|hvs\.[\w\-]{20,}|eyJ[\w\-]{8,}\.[\w\-]{8,}\.[\w\-]{8,})(?![A-Za-z0-9_])"
 )
 _PATTERNS = (_BY_NAME, _BY_FIELD, _ADDRESS, _ESCAPED_ADDRESS, _QUERY, _SCHEME, _USER, _DASH_P, _BY_SQL, _CALL, _ISSUED)
 #: In a path a literal also follows a name as the next part, and ends with the part.
 _IN_PATH = re.compile(_BEFORE + _NAME + _END + r"(?:[=:/ ]|[ ]+)(?P<u1>[^\s/\\&?]+)", re.IGNORECASE)
+#: ... or behind a dash in the same part, if it looks made up: ``password-Xk3!bv90``.
+_BY_DASH = re.compile(r"(?:^|[/\\])(?i:" + _NAME + r")-(?P<u1>(?=[^/\\]*\d)(?=[^/\\]*[A-Z!@#$%^*])[^\s/\\&?]{8,})")
 _SUFFIX = re.compile(r"\.(?:txt|md|json|jsonl|ya?ml|toml|ini|cfg|conf|csv|tsv|log|bin|dat|xml|html?|css|js|ts|py|rb|go|rs|java|c|h|cpp|cs|php|sh|sql|ps1|pem|key|pub|crt|cer|der|p12|pfx|jks|gpg|asc|env|spec|zip|gz|tar|png)$", re.IGNORECASE)
 
 _NAME_ONLY = re.compile("^" + _NAME + r"(?:[_\-]?(?:field|name|id|key|value|path|file|url|env|var|header|type|here|placeholder|hash))?$", re.IGNORECASE)
@@ -166,8 +168,8 @@ def literals(text: str, path: bool = False) -> set[str]:
                     continue
             found.add(_trim(value) if kind[:1] == "u" else value)
     if path:
-        for m in _IN_PATH.finditer(text):
-            found.add(_SUFFIX.sub("", m.group("u1")))
+        for pattern in (_IN_PATH, _BY_DASH):
+            found |= {_SUFFIX.sub("", m.group("u1")) for m in pattern.finditer(text)}
         found = {v.split("/")[0].split("\\")[0] if not v.startswith("-----") else v for v in found}
         found = {_SUFFIX.sub("", v) for v in found}
     return {v for v in found if v}
