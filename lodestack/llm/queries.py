@@ -33,6 +33,11 @@ def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.file_reasons(load(spark, sf_dir, "code_chunks"))
 
 
+def p2_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each file shows, by measure, mark or folder."""
+    return handwritten.file_signals(load(spark, sf_dir, "code_chunks"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_repair.restored_digests(encoding_repair.garbled_records(load(spark, sf_dir, "bench_docs"), "id", "text", "harvested_at"))
 
@@ -86,7 +91,7 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.maximal_spans(shared_spans.shared_intervals(load(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-QUERIES = corpus_queries.QUERIES | {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_reasons, p5_found, p5_chains, p6_pack, p6_fill, p7_mix, p7_selection, p7_shares, p7_budget_shares, p7_exact_mix, p7_exact_shares, p8_found, p8_spans)}
+QUERIES = corpus_queries.QUERIES | {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_reasons, p2_signals, p5_found, p5_chains, p6_pack, p6_fill, p7_mix, p7_selection, p7_shares, p7_budget_shares, p7_exact_mix, p7_exact_shares, p8_found, p8_spans)}
 ORACLE: dict[str, str] = corpus_queries.ORACLE | {
     "p8_found": """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
 w AS (SELECT doc_id, s, hash(substring(text, s + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS s FROM d)),
