@@ -7,7 +7,7 @@ than independent minima do.  The draw stops as soon as every slot holds a rank b
 
 Texts with the same set collapse to one representative before banding, so a group of copies, however
 large, costs one row per band.  Bands are counted by a pre-aggregated groupBy; only bands with more
-than one owner go on.  Pairs are verified on the exact sets.
+than one owner go on.  Pairs are verified on the exact sets of shingle hashes.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -218,32 +217,41 @@ class NearDuplicates:
         if self._pairs is None:
             pairs = self.candidates()
             ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-            texts = materialize(self.texts.join(broadcast_if_small(ids), "id", "left_semi").dropDuplicates(["id"]), "texts")
+            own = self.texts.join(broadcast_if_small(ids), "id", "left_semi").dropDuplicates(["id"])
             size, least = self.size, self.least
 
-            @F.pandas_udf("double")
-            def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
-                a, na = shingle_sets(left.tolist(), size, least)
-                b, nb = shingle_sets(right.tolist(), size, least)
-                ea, eb = np.cumsum(na), np.cumsum(nb)
-                out = []
-                for i in range(len(left)):
-                    common = len(np.intersect1d(a[ea[i] - na[i] : ea[i]], b[eb[i] - nb[i] : eb[i]], assume_unique=True))
-                    out.append(common / (na[i] + nb[i] - common) if na[i] and nb[i] else 0.0)
-                return pd.Series(out, dtype="float64")
-
-            joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+            def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for whole in batches:
+                    for at in range(0, whole.num_rows, 2000):
+                        batch = whole.slice(at, 2000)
+                        shingles, sizes = shingle_sets(batch.column(1).to_pylist(), size, least)
+                        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(shingles.view(np.int64)))], names=["id", "shingles"])
+
+            # each set is spelled once; pairs carry the hashes, which the JVM intersects
+            sets = materialize(own.select("id", "text").mapInArrow(spell, "id long, shingles array<long>"), "sets")
+            joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+            common = F.size(F.array_intersect("sa", "sb"))
+            rows = joined.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("sizes")).where(F.col("common") < F.col("sizes"))
             # the division is the correctly rounded quotient, so 3/5 equals the literal 0.6
-            self._pairs = materialize(joined.select("a", "b", jaccard("ta", "tb").alias("similarity")).where(F.col("similarity") >= self.threshold), "pairs")
+            self._pairs = materialize(rows.select("a", "b", (F.col("common") / (F.col("sizes") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= self.threshold), "pairs")
         return self._pairs
 
     def all_pairs(self) -> DataFrame:
-        """``(id_a, id_b)`` of all texts that reach the threshold, copies spelled out."""
+        """``(id_a, id_b)`` of all texts that reach the threshold, copies spelled out.
+
+        For callers that need every pair: k copies of one text give k(k - 1)/2 of them.  A large class is cut
+        into shares that are joined in tasks of their own.  :meth:`groups` says the same with a row for each text.
+        """
         members = materialize(self.members(), "members")
         pairs = self.representative_pairs()
         left = pairs.join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a", "left").select(F.coalesce("x", "a").alias("x"), "b")
         both = left.join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b", "left").select("x", F.coalesce("y", "b").alias("y"))
-        copies = members.alias("l").join(members.alias("r"), F.expr("l.rep = r.rep and l.id < r.id")).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
+        shares = F.ceil(F.count("*") / 500)
+        cut = members.join(members.groupBy("rep").agg(shares.alias("shares")), "rep")
+        some = cut.select("rep", "id", F.pmod(F.xxhash64("id"), "shares").alias("share"))
+        every = cut.select("rep", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+        copies = some.alias("l").join(every.alias("r"), F.expr("l.rep = r.rep and l.share = r.share and l.id < r.id")).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
         return both.union(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
     def groups(self) -> DataFrame:
