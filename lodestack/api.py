@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
 from lodestack.operators import codec, index, rank, store
-from lodestack.session import materialize
+from lodestack.session import broadcast_if_small, materialize
 
 ENTRY = "doc_id long, title string, path string, text string, language_id int, stored_at timestamp"
 
 
 class Store:
-    """Documents with payloads and a vocabulary below ``root``; every write makes a new version folder."""
+    """Documents with payloads, a vocabulary and an index below ``root``.
+
+    ``append`` and ``delete`` only add rows, also to payloads and index, so what they write can be read and found
+    at once.  ``create`` and ``reindex`` write tables anew and must not run beside readers of the same folder.
+    """
 
     def __init__(self, spark: SparkSession, root: str, vocabulary_size: int = 20_000):
         self.spark, self.root, self.size = spark, root.rstrip("/"), vocabulary_size
@@ -29,11 +33,7 @@ class Store:
     def create(cls, spark: SparkSession, root: str, documents: DataFrame, vocabulary_size: int = 20_000) -> Store:
         """A new store of ``doc_id, title, path, text``; paths must be safe, and the latest row of an id counts."""
         made = cls(spark, root, vocabulary_size)
-        rows = documents.withColumn("language_id", T.language_of(F.col("path"))).withColumn("stored_at", F.current_timestamp())
-        unsafe = rows.where(F.col("path").isNotNull() & T.unsafe_path(F.col("path"))).limit(1).count()
-        if unsafe:
-            raise ValueError("a document's path leaves the store")
-        rows = materialize(rows.select("doc_id", "title", "path", "text", "language_id", "stored_at"), "documents")
+        rows = materialize(made._checked(documents), "documents")
         rows.write.mode("overwrite").parquet(f"{made.root}/documents")
         rows.limit(0).select("doc_id", F.current_timestamp().alias("deleted_at")).write.mode("overwrite").parquet(f"{made.root}/tombstones")
         made.reindex()
@@ -45,45 +45,71 @@ class Store:
         gone = self._read("tombstones").groupBy("doc_id").agg(F.max("deleted_at").alias("deleted_at"))
         return rows.join(gone, "doc_id", "left").where(F.col("deleted_at").isNull() | (F.col("deleted_at") < F.col("stored_at"))).drop("deleted_at")
 
-    def append(self, documents: DataFrame) -> None:
-        """Add documents or replace those with the same id."""
+    @staticmethod
+    def _checked(documents: DataFrame) -> DataFrame:
+        """Rows as the store keeps them; a path that leaves the store is an error."""
         rows = documents.withColumn("language_id", T.language_of(F.col("path"))).withColumn("stored_at", F.current_timestamp())
-        rows.select("doc_id", "title", "path", "text", "language_id", "stored_at").write.mode("append").parquet(f"{self.root}/documents")
+        if rows.where(F.col("path").isNotNull() & T.unsafe_path(F.col("path"))).limit(1).count():
+            raise ValueError("a document's path leaves the store")
+        return rows.select("doc_id", "title", "path", "text", "language_id", "stored_at")
+
+    @property
+    def index(self) -> index.TextIndex:
+        return index.TextIndex(self.spark, f"{self.root}/index")
+
+    def append(self, documents: DataFrame) -> None:
+        """Add documents or replace those with the same id: as rows, as payloads and in the index."""
+        rows = materialize(self._checked(documents), "appended")
+        rows.write.mode("append").parquet(f"{self.root}/documents")
+        fresh = index.latest(rows, ["doc_id"], ["title", "path", "text", "language_id"], "stored_at")
+        self._pack(fresh, "append")
+        self.index.append(fresh)
 
     def delete(self, ids: DataFrame) -> None:
         """Remove the documents of ``ids(doc_id)`` by tombstones; appended again, they are back."""
         ids.select("doc_id", F.current_timestamp().alias("deleted_at")).write.mode("append").parquet(f"{self.root}/tombstones")
+        self.index.delete(ids)
+
+    def _pack(self, docs: DataFrame, mode: str) -> None:
+        texts = docs.where("text is not null").select(F.col("doc_id").alias("id"), "text", "language_id")
+        packed = codec.encode(texts, self._read("vocabulary"), self.size).withColumn("packed_at", F.current_timestamp())
+        packed.write.mode(mode).parquet(f"{self.root}/payloads")
+
+    def _payloads(self) -> DataFrame:
+        """The latest payload of every current document."""
+        last = self._read("payloads").groupBy("id").agg(F.max(F.struct("packed_at", "payload")).alias("p")).select("id", "p.payload")
+        return last.join(self.documents().where("text is not null").select(F.col("doc_id").alias("id")), "id", "left_semi")
 
     def reindex(self) -> None:
-        """Write vocabulary, payloads and posting segments of the current documents."""
-        texts = self.documents().where("text is not null").select(F.col("doc_id").alias("id"), "text", "language_id")
+        """Write vocabulary, payloads and index of the current documents anew."""
+        docs = materialize(self.documents(), "current")
+        texts = docs.where("text is not null").select(F.col("doc_id").alias("id"), "text", "language_id")
         codec.vocabulary(texts, self.size).write.mode("overwrite").parquet(f"{self.root}/vocabulary")
-        codec.encode(texts, self._read("vocabulary"), self.size).write.mode("overwrite").parquet(f"{self.root}/payloads")
-        segments = index.postings_segments(index.term_freq(self.documents()))
-        segments.repartitionByRange("term").sortWithinPartitions("term", "segment").write.mode("overwrite").parquet(f"{self.root}/postings")
+        self._pack(docs, "overwrite")
+        index.TextIndex.build(docs, f"{self.root}/index")
 
     def search(self, queries: DataFrame, k: int = 5, snippet: int = 240) -> DataFrame:
-        """``(query_id, rank, doc_id, path, score, snippet)``."""
-        docs = self.documents()
-        found = rank.bm25(index.SearchSpace(docs, queries), k=k, k1=1.2, title_boost=1.0)
-        rows = found.join(docs.select("doc_id", "path", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
-        return rows.select("query_id", "rank", "doc_id", "path", "score", T.windowed_snippet(F.substring("text", 1, 2000), T.snippet_terms("query"), snippet).alias("snippet"))
+        """``(query_id, rank, doc_id, path, score, snippet)`` by the index; snippets come from the whole texts of the results."""
+        found = materialize(rank.bm25(index.SearchSpace(self.index, queries), k=k, k1=1.2, title_boost=1.0), "found")
+        texts = self.index.table("documents").select("doc_id", "path", "text").join(broadcast_if_small(found.select("doc_id").distinct()), "doc_id", "left_semi")
+        rows = found.join(texts, "doc_id").join(queries.select("query_id", "query"), "query_id")
+        return rows.select("query_id", "rank", "doc_id", "path", "score", T.windowed_snippet(F.col("text"), T.snippet_terms("query"), snippet).alias("snippet"))
 
     def read(self, ids: DataFrame) -> DataFrame:
         """``(doc_id, text)`` decoded from the payloads of ``ids(doc_id)`` only."""
-        wanted = self._read("payloads").join(ids.select(F.col("doc_id").alias("id")), "id", "left_semi")
+        wanted = self._payloads().join(ids.select(F.col("doc_id").alias("id")), "id", "left_semi")
         return codec.decode(wanted, self._read("vocabulary"), self.size).withColumnRenamed("id", "doc_id")
 
     def verify(self) -> DataFrame:
         """One row ``(documents, perfect, failed)`` of all payloads against their texts."""
         texts = self.documents().select(F.col("doc_id").alias("id"), "text")
-        checked = codec.verify(texts, self._read("payloads"), self._read("vocabulary"), self.size)
+        checked = codec.verify(texts, self._payloads(), self._read("vocabulary"), self.size)
         ok = (F.col("length_ok") & F.col("checksum_ok") & F.col("lossless")).cast("int")
         return checked.agg(F.count("*").alias("documents"), F.coalesce(F.sum(ok), F.lit(0)).alias("perfect"), F.coalesce(F.sum(1 - ok), F.lit(0)).alias("failed"))
 
     def inspect(self) -> DataFrame:
         """One row ``(documents, original_bytes, payload_bytes, ratio)``."""
-        sizes = self._read("payloads").select("id", F.octet_length("payload").alias("spec_size"), F.conv(F.hex(F.substring("payload", 9, 4)), 16, 10).cast("long").alias("original_size"), F.lit(0).alias("pack_id"))
+        sizes = self._payloads().select("id", F.octet_length("payload").alias("spec_size"), F.conv(F.hex(F.substring("payload", 9, 4)), 16, 10).cast("long").alias("original_size"), F.lit(0).alias("pack_id"))
         return store.inspect(sizes).select(F.col("entries").alias("documents"), "original_bytes", F.col("spec_bytes").alias("payload_bytes"), "ratio")
 
 

@@ -38,18 +38,23 @@ def metrics(first: DataFrame, k: int = 5, by: str | None = None) -> DataFrame:
 def running_metrics(first: DataFrame, prefix: int = 7) -> DataFrame:
     """``(query_id, seen, hits, mrr_sum)`` after each query in order of its id.
 
-    Running totals come in two steps, within ranges of ids that share ``prefix`` characters and over the
-    ranges' sums, so no window holds all queries.
+    Running totals come in steps: within ranges of ids that share ``prefix`` characters, over these ranges
+    within those of one character less, and so on up to the first character, so no window holds all queries
+    nor all ranges: at most as many as there are characters.
     """
-    rows = first.withColumn("bucket", F.substring("query_id", 1, prefix))
-    inside = Window.partitionBy("bucket").orderBy("query_id").rowsBetween(Window.unboundedPreceding, 0)
     gain = F.when(F.col("first") > 0, 1.0 / F.col("first")).otherwise(0.0)
-    rows = rows.withColumn("hit", (F.col("first") > 0).cast("int")).withColumn("gain", gain)
-    sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("hit").alias("h"), F.sum("gain").alias("g"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"o{c}") for c in ("n", "h", "g")])
-    joined = rows.join(offsets, "bucket")
-    return joined.select("query_id", (F.col("on") + F.count("*").over(inside)).alias("seen"), (F.col("oh") + F.sum("hit").over(inside)).alias("hits"), F.round(F.col("og") + F.sum("gain").over(inside), 6).alias("mrr_sum"))
+    names = ("n", "h", "g")
+    parts = first.select("query_id", F.lit(1).cast("long").alias("n"), (F.col("first") > 0).cast("long").alias("h"), gain.alias("g"))
+    cut = lambda i: F.substring("query_id", 1, i)
+    inside = Window.partitionBy(cut(prefix)).orderBy("query_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.select("query_id", *[F.sum(c).over(inside).alias(c) for c in names])
+    for i in range(prefix, 0, -1):
+        sums = parts.groupBy(cut(i).alias("bucket")).agg(*[F.sum(c).alias(c) for c in names])
+        before = Window.partitionBy(F.substring("bucket", 1, i - 1)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sums.select(F.col("bucket").alias(f"b{i}"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"o{c}") for c in names])
+        joined = rows.withColumn(f"b{i}", cut(i)).join(offsets, f"b{i}")
+        rows = joined.select("query_id", *[(F.col(c) + F.col(f"o{c}")).alias(c) for c in names])
+    return rows.select("query_id", F.col("n").alias("seen"), F.col("h").alias("hits"), F.round("g", 6).alias("mrr_sum"))
 
 
 def nearest_rank(df: DataFrame, value: str, percent: float, by: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ with the collection and must not end up in one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import raw_terms
@@ -68,24 +68,101 @@ def postings_gaps(tf: DataFrame) -> DataFrame:
     return rows.select("term", "segment", "doc_id", (F.col("doc_id") - before).alias("gap"))
 
 
+#: Tables of a :class:`TextIndex` that hold something of every document.
+_TABLES = ("documents", "postings", "titles", "paths", "fields", "positions")
+
+
+class TextIndex:
+    """The index tables of a collection below a folder, written once and read by every search.
+
+    ``documents`` holds the documents with their number of terms, ``postings (term, doc_id, tf, dl)``, ``titles``
+    and ``paths (term, doc_id)``, ``fields`` the word arrays that re-ranking compares, ``positions`` up to eight
+    places of every code word.  Postings are sorted by term and the others by document, so that a search reads
+    the row groups it needs.  Every row carries the ``version`` of the write that made it: :meth:`append` adds
+    rows to all tables, and of a document only the rows of its latest version count, none after :meth:`delete`.
+    Null ids are left out; null texts, titles and paths have no terms.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
+    @classmethod
+    def build(cls, docs: DataFrame, root: str, text: Column | str = "text") -> TextIndex:
+        """Index ``docs (doc_id, title, path, text, ...)``, one row per id."""
+        made = cls(docs.sparkSession, root)
+        made._write(docs, 0, text)
+        made.spark.createDataFrame([], "doc_id long, version long").write.mode("overwrite").parquet(f"{made.root}/gone")
+        return made
+
+    def _write(self, docs: DataFrame, version: int, text: Column | str = "text") -> None:
+        from lodestack.functions import fields as words
+
+        text = F.col(text) if isinstance(text, str) else text
+        mode, of = ("append" if version else "overwrite"), F.lit(version).cast("long").alias("version")
+        save = lambda df, name, key: df.withColumn("version", of).repartitionByRange(*key).sortWithinPartitions(*key).write.mode(mode).option("parquet.block.size", 16 << 20).parquet(f"{self.root}/{name}")
+        rows = docs.where("doc_id is not null").withColumn("terms", raw_terms(text)).withColumn("dl", F.size("terms"))
+        save(rows.drop("terms"), "documents", ["doc_id"])
+        kept = self._read("documents").where(F.col("version") == version).drop("version")
+        tf = rows.select("doc_id", "dl", F.explode("terms").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        save(tf, "postings", ["term", "doc_id"])
+        save(kept.select("doc_id", F.explode(F.array_distinct(raw_terms("title"))).alias("term")), "titles", ["term", "doc_id"])
+        save(kept.select("doc_id", F.explode(words.path_words(F.col("path"))).alias("term")), "paths", ["term", "doc_id"])
+        save(words.field_words(kept).drop("text"), "fields", ["doc_id"])
+        save(words.word_positions(kept), "positions", ["doc_id", "word"])
+
+    def _versions(self) -> int:
+        return self._read("documents").agg(F.max("version")).first()[0] or 0
+
+    def append(self, docs: DataFrame) -> None:
+        """Index more documents; those with a known id replace it."""
+        self._write(docs, self._versions() + 1)
+
+    def delete(self, ids: DataFrame) -> None:
+        """Leave the documents of ``ids(doc_id)`` out until they are appended again."""
+        ids.select("doc_id", F.lit(self._versions()).cast("long").alias("version")).write.mode("append").parquet(f"{self.root}/gone")
+
+    def table(self, name: str) -> DataFrame:
+        """The current rows of a table."""
+        rows = self._read(name)
+        gone = self._read("gone")
+        if gone.isEmpty() and not self._versions():
+            return rows.drop("version")
+        last = self._read("documents").groupBy("doc_id").agg(F.max("version").alias("version"))
+        left = gone.groupBy("doc_id").agg(F.max("version").alias("until"))
+        live = last.join(left, "doc_id", "left").where(F.col("until").isNull() | (F.col("until") < F.col("version"))).select("doc_id", "version")
+        return rows.join(live, ["doc_id", "version"], "left_semi").drop("version")
+
+
 class SearchSpace:
     """What a batch of queries needs of a collection: matching postings, lengths and frequencies.
 
-    ``docs`` holds ``doc_id, title, text``; ``queries`` holds ``query_id, query``.  Only terms that some
-    query names leave the scan.  Null queries and texts have no terms and match nothing.
+    ``docs`` holds ``doc_id, title, text``, or is a :class:`TextIndex`; ``queries`` holds ``query_id, query``.
+    Only terms that some query names leave the scan.  Null queries and texts have no terms and match nothing.
     """
 
-    def __init__(self, docs: DataFrame, queries: DataFrame, text: Column | str = "text", query_terms: Column | None = None):
-        self.docs, self.queries = docs, queries
+    def __init__(self, docs: DataFrame | TextIndex, queries: DataFrame, text: Column | str = "text", query_terms: Column | None = None):
+        self.queries = queries
         words = queries.select("query_id", F.explode(query_terms if query_terms is not None else raw_terms("query")).alias("term"))
-        self.query_terms = materialize(words.groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "query-terms")
+        # sums are kept by a number for each query, which is cheaper to group by than its id
+        self.numbers = materialize(queries.select("query_id").distinct().coalesce(1).withColumn("qn", F.monotonically_increasing_id()), "numbers")
+        numbered = words.groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(broadcast_if_small(self.numbers), "query_id")
+        self.query_terms = materialize(numbered.select("query_id", "qn", "term", "qtf"), "query-terms")
         wanted = broadcast_if_small(materialize(self.query_terms.select("term").distinct(), "terms"))
-        tokens = tokenized(docs, text)
-        row = tokens.agg(F.count("*"), F.avg("dl")).first()
+        if isinstance(docs, TextIndex):
+            self.docs = docs.table("documents")
+            sizes, postings, titles = self.docs, docs.table("postings"), docs.table("titles")
+            self.postings = postings.join(wanted, "term", "left_semi").select("term", "doc_id", "dl", "tf")
+        else:
+            self.docs = docs
+            sizes = tokenized(docs, text)
+            matched = sizes.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted, "term").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+            self.postings = materialize(matched, "postings")
+            titles = docs.select("doc_id", F.explode(F.array_distinct(raw_terms("title"))).alias("term")) if "title" in docs.columns else None
+        row = sizes.agg(F.count("*"), F.avg("dl")).first()
         self.n_docs, self.avgdl = int(row[0]), float(row[1] or 0.0)
-        matched = tokens.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted, "term").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-        self.postings = materialize(matched, "postings")
         counted = self.postings.groupBy("term").agg(F.count("*").alias("df"))
         self.idf = materialize(counted.select("term", "df", (F.col("df") / self.n_docs).alias("df_ratio"), inverse_frequency(F.lit(float(self.n_docs)), F.col("df")).alias("idf")), "idf")
-        titles = docs.select("doc_id", F.explode(F.array_distinct(raw_terms("title"))).alias("term")) if "title" in docs.columns else None
-        self.titles = materialize(titles.join(wanted, "term", "left_semi"), "titles") if titles is not None else None
+        self.titles = titles.join(wanted, "term", "left_semi") if titles is not None else None

@@ -7,11 +7,13 @@ not depend on the order of summation.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.operators.index import SearchSpace
-from lodestack.session import broadcast_if_small
+from lodestack.operators.index import SEGMENT, SearchSpace, TextIndex
+from lodestack.session import broadcast_if_small, materialize
 
 
 def top(scores: DataFrame, k: int, score: str = "score", key: str = "query_id") -> DataFrame:
@@ -28,9 +30,54 @@ def bm25_term(idf: Column, tf: Column, dl: Column, avgdl: float, k1: float, b: f
 def matches(space: SearchSpace, max_df_ratio: float | None = None) -> DataFrame:
     """``(query_id, qtf, term, doc_id, dl, tf, df, df_ratio, idf)`` of every query term in every document."""
     idf = space.idf if max_df_ratio is None else space.idf.where(F.col("df_ratio") <= max_df_ratio)
-    wanted = space.query_terms.join(broadcast_if_small(idf), "term")
-    # postings move once, by document; the many (query, document) rows they join to are then summed in place
-    return space.postings.repartition("doc_id").join(broadcast_if_small(wanted), "term")
+    wanted = materialize(space.query_terms.join(broadcast_if_small(idf), "term"), "wanted")
+    return space.postings.join(broadcast_if_small(wanted), "term")
+
+
+#: Pairs of query terms and postings from which :func:`top_sums` looks for a floor first.
+FLOOR_PAIRS = 50_000_000
+
+
+def top_sums(space: SearchSpace, wanted: DataFrame, postings: DataFrame, k: int, extra: DataFrame | None = None, floor_pairs: int = FLOOR_PAIRS, first_rows: int = 2000) -> DataFrame:
+    """``(query_id, rank, doc_id, score)``: the ``k`` greatest sums of ``w * c``, exactly, rounded to six digits.
+
+    ``wanted`` holds ``qn, term, w`` and ``postings`` ``term, doc_id, c``, none negative; ``extra``
+    holds further parts ``qn, doc_id, s``.  Where there are more than ``floor_pairs`` pairs that share a term, not
+    all of them are summed:
+
+    1. The terms that can add most (w times the greatest c of the term), up to ``first_rows`` postings, give a
+       floor under the k-th best sum.
+    2. Terms whose greatest parts together stay below the floor cannot lift a document by themselves.  Only
+       documents with another term, and with a chance to reach the floor, become candidates.
+    3. The candidates' sums are completed with those terms.
+    """
+    wanted = materialize(wanted.select("qn", "term", "w"), "weights")
+    counted = wanted.groupBy("term").agg(F.count("*").alias("n")).join(broadcast_if_small(space.idf), "term")
+    pairs = counted.agg(F.coalesce(F.sum(F.col("n") * F.col("df")), F.lit(0))).first()[0]
+    hits = lambda some: postings.join(broadcast_if_small(some.select("qn", "term", "w")), "term").select("qn", "doc_id", (F.col("w") * F.col("c")).alias("s"))
+    summed = lambda rows: rows.groupBy("qn", "doc_id").agg(F.sum("s").alias("s"))
+    more = lambda rows: rows if extra is None else rows.union(extra.select("qn", "doc_id", "s"))
+    if pairs <= floor_pairs:
+        sums = summed(more(hits(wanted)))
+    else:
+        bounds = postings.groupBy("term").agg(F.max("c").alias("most"), F.count("*").alias("df"))
+        terms = materialize(wanted.join(bounds, "term").select("qn", "term", "w", "df", (F.col("w") * F.col("most")).alias("bound")), "bounds")
+        down = Window.partitionBy("qn").orderBy(F.desc("bound"), "term").rowsBetween(Window.unboundedPreceding, -1)
+        first = terms.withColumn("before", F.sum("df").over(down)).where(F.col("before").isNull() | (F.col("before") + F.col("df") <= first_rows))
+        best = top(summed(hits(materialize(first, "first"))), k, "s", "qn")
+        floors = materialize(best.where(F.col("rank") == k).select("qn", F.col("s").alias("floor")), "floors")
+        up = Window.partitionBy("qn").orderBy("bound", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+        split = terms.join(broadcast_if_small(floors), "qn", "left").withColumn("idle", F.coalesce(F.sum("bound").over(up) < F.col("floor") - 1e-5, F.lit(False)))
+        split = materialize(split, "split")
+        idle = split.where("idle")
+        rest = materialize(idle.groupBy("qn").agg(F.sum("bound").alias("rest"), F.first("floor").alias("floor")), "rest")
+        reach = summed(more(hits(split.where("not idle")))).join(broadcast_if_small(rest), "qn", "left").where(F.col("floor").isNull() | (F.col("s") + F.col("rest") >= F.col("floor") - 1e-5))
+        sums = materialize(reach.select("qn", "doc_id", "s"), "candidates")
+        asked = materialize(sums.select("qn", "doc_id").join(broadcast_if_small(idle.select("qn", "term", "w")), "qn"), "asked")
+        completed = postings.join(broadcast_if_small(asked), ["term", "doc_id"]).select("qn", "doc_id", (F.col("w") * F.col("c")).alias("s"))
+        sums = summed(sums.union(completed))
+    scores = sums.select("qn", "doc_id", F.round("s", 6).alias("score")).where("score > 0")
+    return top(scores, k, key="qn").join(broadcast_if_small(space.numbers), "qn").select("query_id", "rank", "doc_id", "score")
 
 
 def bm25(space: SearchSpace, k: int = 10, k1: float = 1.5, b: float = 0.75, max_df_ratio: float | None = None, unique_terms: bool = False, title_boost: float = 0.0) -> DataFrame:
@@ -39,16 +86,17 @@ def bm25(space: SearchSpace, k: int = 10, k1: float = 1.5, b: float = 0.75, max_
     ``title_boost`` is added once per distinct query term in the title and may bring in documents that
     match nowhere else.  ``unique_terms`` ignores how often a query repeats a term.
     """
-    found = matches(space, max_df_ratio)
-    weight = F.lit(1) if unique_terms else F.col("qtf")
-    scored = found.select("query_id", "doc_id", (bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), space.avgdl, k1, b) * weight).alias("s"))
+    idf = space.idf if max_df_ratio is None else space.idf.where(F.col("df_ratio") <= max_df_ratio)
+    wanted = space.query_terms.select("qn", "term", (F.lit(1.0) if unique_terms else F.col("qtf").cast("double")).alias("w"))
+    part = bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), space.avgdl, k1, b)
+    postings = space.postings.join(broadcast_if_small(idf.select("term", "idf")), "term").select("term", "doc_id", part.alias("c"))
+    extra = None
     if title_boost:
         allowed = space.query_terms
         if max_df_ratio is not None:
-            allowed = allowed.join(space.idf.where(F.col("df_ratio") > max_df_ratio).select("term"), "term", "left_anti")
-        scored = scored.union(space.titles.repartition("doc_id").join(broadcast_if_small(allowed), "term").select("query_id", "doc_id", F.lit(float(title_boost)).alias("s")))
-    summed = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score")).where("score > 0")
-    return top(summed, k).select("query_id", "rank", "doc_id", "score")
+            allowed = materialize(allowed.join(space.idf.where(F.col("df_ratio") > max_df_ratio).select("term"), "term", "left_anti"), "allowed")
+        extra = space.titles.join(broadcast_if_small(allowed), "term").select("qn", "doc_id", F.lit(float(title_boost)).alias("s"))
+    return top_sums(space, wanted, postings, k, extra)
 
 
 def matched_terms(space: SearchSpace, ranked: DataFrame) -> DataFrame:
@@ -66,20 +114,21 @@ def binary_cosine(space: SearchSpace, lengths: DataFrame, k: int = 10) -> DataFr
     return top(joined.select("query_id", "doc_id", F.round(F.col("c") / F.sqrt(F.col("q") * F.col("distinct_terms")), 6).alias("score")), k).select("query_id", "rank", "doc_id", "score")
 
 
-def tfidf_cosine(space: SearchSpace, docs: DataFrame, k: int = 10) -> DataFrame:
+def tfidf_cosine(space: SearchSpace, docs: DataFrame | TextIndex, k: int = 10) -> DataFrame:
     """Cosine of tf x (ln((1+N)/(1+df)) + 1) vectors; the document norms need all terms."""
     n = float(space.n_docs)
     weight = F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0
     from lodestack.operators.index import term_freq
 
-    tf = term_freq(docs)
+    tf = docs.table("postings") if isinstance(docs, TextIndex) else term_freq(docs)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     norms = tf.join(df, "term").groupBy("doc_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * weight, 2))).alias("norm"))
-    query = space.query_terms.join(broadcast_if_small(space.idf), "term").withColumn("w", F.col("qtf") * weight)
-    query_norm = query.groupBy("query_id").agg(F.sqrt(F.sum(F.pow("w", 2))).alias("qnorm"))
-    dots = space.postings.join(broadcast_if_small(query.select("query_id", "term", "w", "df")), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("tf") * weight).alias("dot"))
-    joined = dots.join(broadcast_if_small(query_norm), "query_id").join(norms, "doc_id")
-    return top(joined.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score")), k).select("query_id", "rank", "doc_id", "score")
+    idf = space.idf.select("term", weight.alias("weight"))
+    query = materialize(space.query_terms.join(broadcast_if_small(idf), "term").withColumn("w", F.col("qtf") * F.col("weight")), "weighed")
+    query_norm = query.groupBy("qn").agg(F.sqrt(F.sum(F.pow("w", 2))).alias("qnorm"))
+    wanted = query.join(broadcast_if_small(query_norm), "qn").select("qn", "term", (F.col("w") / F.col("qnorm")).alias("w"))
+    postings = space.postings.join(broadcast_if_small(idf), "term").join(norms, "doc_id")
+    return top_sums(space, wanted, materialize(postings.select("term", "doc_id", (F.col("tf") * F.col("weight") / F.col("norm")).alias("c")), "cosines"), k)
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 10, constant: int = 60) -> DataFrame:
@@ -94,7 +143,7 @@ def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 10, constant: int =
 def token_types(space: SearchSpace) -> DataFrame:
     """``(query_id, term, df, df_ratio, kind)``: missing, rare, common, identifier/path or text."""
     stats = space.query_terms.join(broadcast_if_small(space.idf), "term", "left").fillna(0, ["df"]).fillna(0.0, ["df_ratio", "idf"])
-    titled = space.titles.select("term").distinct().withColumn("titled", F.lit(True))
+    titled = materialize(space.titles.select("term").distinct().withColumn("titled", F.lit(True)), "titled")
     stats = stats.join(broadcast_if_small(titled), "term", "left")
     codelike = F.col("term").rlike(r"^[A-Za-z0-9_]*([A-Za-z][A-Za-z0-9_]*[0-9]|[0-9][A-Za-z0-9_]*[A-Za-z])[A-Za-z0-9_]*$|[_./\\-]")
     kind = (
@@ -107,6 +156,19 @@ def token_types(space: SearchSpace) -> DataFrame:
     return stats.select("query_id", "term", "qtf", "df", "df_ratio", "idf", kind.alias("kind"))
 
 
+def list_heads(postings: DataFrame, cap: int, segment: int = SEGMENT) -> DataFrame:
+    """``(term, doc_id)``: the first ``cap`` documents of every posting list.
+
+    A list is cut into segments of document ids, which are numbered apart; only the segments' sizes are
+    summed along a whole list.
+    """
+    rows = postings.select("term", "doc_id", F.expr(f"doc_id DIV {segment}").alias("segment"))
+    inside = rows.withColumn("at", F.row_number().over(Window.partitionBy("term", "segment").orderBy("doc_id"))).where(F.col("at") <= cap)
+    along = Window.partitionBy("term").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    begun = rows.groupBy("term", "segment").agg(F.count("*").alias("n")).select("term", "segment", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before")).where(F.col("before") < cap)
+    return inside.join(begun, ["term", "segment"]).where(F.col("before") + F.col("at") <= cap).select("term", "doc_id")
+
+
 def selective_search(space: SearchSpace, k: int = 10, cap: int = 2000, floor: float = 0.35, drop: float = 0.05, title_boost: float = 1.0, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 over candidates gathered from the rarest terms first.
 
@@ -117,22 +179,23 @@ def selective_search(space: SearchSpace, k: int = 10, cap: int = 2000, floor: fl
 
     The walk needs no row-by-row state: of each list only its size decides where it starts, and at most
     ``cap`` documents of a list can matter, so rows are cut to the lists' first ``cap`` documents
-    before the one ordered window per query.
+    (:func:`list_heads`) before the one ordered window per query.
     """
     kinds = token_types(space)
     strong = F.col("kind").isin("rare", "identifier/path")
-    scale = max(1.0, float(__import__("math").log(space.n_docs + 1)))
+    scale = max(1.0, math.log(space.n_docs + 1))
     weight = F.when(F.col("df") == 0, 0.0).when(strong, F.greatest(F.lit(floor), F.col("idf") / scale)).otherwise(F.col("idf") / scale)
     terms = kinds.withColumn("w", weight).where(F.col("w") >= drop)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("w", 9)), "df", F.desc(F.round("idf", 9)), "term")
-    terms = terms.withColumn("turn", F.row_number().over(order)).select("query_id", "term", "w", "idf", "turn")
-    heads = space.postings.withColumn("at", F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))).where(F.col("at") <= cap)
-    walk = heads.select("term", "doc_id").join(broadcast_if_small(terms), "term")
+    terms = materialize(terms.withColumn("turn", F.row_number().over(order)).select("query_id", "term", "w", "idf", "turn"), "turns")
+    heads = list_heads(space.postings.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi"), cap)
+    walk = heads.join(broadcast_if_small(terms), "term")
     row = walk.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "doc_id")))
     row = row.withColumn("fresh", (F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("rn")) == 1).cast("int"))
     row = row.withColumn("seen", F.sum("fresh").over(Window.partitionBy("query_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)))
     kept = row.where(F.coalesce("seen", F.lit(0)) < cap)
     candidates = kept.groupBy("query_id", "doc_id").agg(F.sum("w").alias("gathered")).where(F.round("gathered", 9) >= floor).select("query_id", "doc_id")
+    candidates = broadcast_if_small(materialize(candidates, "candidates"))
     full = space.postings.join(broadcast_if_small(terms), "term").join(candidates, ["query_id", "doc_id"], "left_semi")
     scored = full.select("query_id", "doc_id", (bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), space.avgdl, k1, b) * F.col("w")).alias("s"))
     if title_boost:

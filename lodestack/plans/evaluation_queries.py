@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
 from lodestack.operators import evaluate, index, rank, rerank
-from lodestack.plans.retrieval_queries import DOCS, KINDS, SPACE, TERMS, TF, bm25_sql, documents, search_queries, selective_sql, space
-from lodestack.plans.text_queries import (
-    DECLARED, IMPORTED, clean_sql, ending_sql, expanded_queries, field_words, name_sql, parts_sql, path_words_sql, separated_sql, stem_sql, title_fallback_frame, word_positions, words_sql,
-)
-from lodestack.session import load, materialize
+from lodestack.plans.retrieval_queries import DOCS, KINDS, SPACE, TERMS, TF, bm25_sql, documents, search_queries, selective_sql, space, text_index
+from lodestack.functions.fields import DECLARED, IMPORTED
+from lodestack.plans.text_queries import clean_sql, ending_sql, expanded_queries, name_sql, parts_sql, path_words_sql, separated_sql, stem_sql, title_fallback_frame, words_sql
+from lodestack.session import broadcast_if_small, load, materialize
 
 
 def candidate_features(spark: SparkSession, sf_dir: str, k: int = 10, coderag: bool = True) -> DataFrame:
-    docs, queries = documents(spark, sf_dir), search_queries(spark, sf_dir)
-    ranked = materialize(rank.bm25(index.SearchSpace(docs, queries), k=k, k1=1.2, title_boost=1.0), "ranked")
-    needed = docs.join(ranked.select("doc_id").distinct(), "doc_id", "left_semi")
-    return rerank.features(ranked, expanded_queries(queries), field_words(needed), word_positions(needed), coderag)
+    queries = search_queries(spark, sf_dir)
+    ranked = materialize(rank.bm25(space(spark, sf_dir), k=k, k1=1.2, title_boost=1.0), "ranked")
+    return features_of(text_index(spark, sf_dir), ranked, expanded_queries(queries), coderag)
+
+
+def features_of(found: index.TextIndex, ranked: DataFrame, expanded: DataFrame, coderag: bool = True) -> DataFrame:
+    """Features of ranked rows; of the index only what belongs to a ranked document is read on."""
+    wanted = broadcast_if_small(materialize(ranked.select("doc_id").distinct(), "wanted"))
+    fields, positions = (found.table(name).join(wanted, "doc_id", "left_semi") for name in ("fields", "positions"))
+    return rerank.features(ranked, expanded, fields, positions, coderag)
 
 
 def proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,14 +43,18 @@ def rerank_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def serving_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selective candidates, path fallback, plain BM25; the first 25 ranked again; a snippet of each result."""
-    docs, queries = documents(spark, sf_dir), search_queries(spark, sf_dir)
+    """Selective candidates, path fallback, plain BM25; the first 25 ranked again; a snippet of each result.
+
+    The snippet comes from the first 2,000 characters, which is what the store keeps of each text for this purpose.
+    """
+    found, queries = text_index(spark, sf_dir), search_queries(spark, sf_dir)
     expanded = materialize(expanded_queries(queries), "expanded")
-    found = index.SearchSpace(docs, expanded.select("query_id", F.col("expanded").alias("query")))
-    merged = materialize(rank.merge_first(rank.selective_search(found, k=25), title_fallback_frame(docs, expanded.select("query_id", F.col("expanded").alias("query")), 25), rank.bm25(found, k=25), k=25), "merged")
-    needed = docs.join(merged.select("doc_id").distinct(), "doc_id", "left_semi")
-    best = rerank.rerank(rerank.features(merged, expanded, field_words(needed), word_positions(needed)), k=5, candidates=rerank.PROFILES["balanced"])
-    rows = best.join(docs.select("doc_id", "path", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
+    asked = expanded.select("query_id", F.col("expanded").alias("query"))
+    searched = index.SearchSpace(found, asked)
+    merged = materialize(rank.merge_first(rank.selective_search(searched, k=25), title_fallback_frame(found, asked, 25), rank.bm25(searched, k=25), k=25), "merged")
+    best = materialize(rerank.rerank(features_of(found, merged, expanded), k=5, candidates=rerank.PROFILES["balanced"]), "best")
+    texts = found.table("documents").select("doc_id", "path", "text").join(broadcast_if_small(best.select("doc_id").distinct()), "doc_id", "left_semi")
+    rows = best.join(texts, "doc_id").join(queries.select("query_id", "query"), "query_id")
     return rows.select("query_id", "rank", "doc_id", "path", "score", T.windowed_snippet(F.substring("text", 1, 2000), T.snippet_terms("query"), 240).alias("snippet"))
 
 
@@ -55,7 +64,7 @@ def resolve_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_hits(spark: SparkSession, sf_dir: str, **options) -> DataFrame:  # noqa: ANN003
     docs, queries = documents(spark, sf_dir), search_queries(spark, sf_dir)
-    ranked = rank.bm25(index.SearchSpace(docs, queries), k=5, **options)
+    ranked = rank.bm25(space(spark, sf_dir), k=5, **options)
     return evaluate.first_hits(ranked, evaluate.resolve_judgements(queries, docs), queries)
 
 
@@ -74,7 +83,7 @@ def running_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched over expected paths of each query with any."""
     docs, queries = documents(spark, sf_dir), search_queries(spark, sf_dir)
-    ranked = rank.bm25(index.SearchSpace(docs, queries), k=5)
+    ranked = rank.bm25(space(spark, sf_dir), k=5)
     judged = evaluate.resolve_judgements(queries, docs)
     joined = judged.join(ranked.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
     return joined.groupBy("query_id").agg(F.count("*").alias("expected"), F.count("hit").alias("matched"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
@@ -83,7 +92,7 @@ def label_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def param_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     docs, queries = documents(spark, sf_dir), search_queries(spark, sf_dir)
-    found, judged = index.SearchSpace(docs, queries), materialize(evaluate.resolve_judgements(queries, docs), "judged")
+    found, judged = space(spark, sf_dir), materialize(evaluate.resolve_judgements(queries, docs), "judged")
     for k1 in (0.9, 1.2, 1.5):
         for b in (0.4, 0.75):
             first = evaluate.first_hits(rank.bm25(found, k=5, k1=k1, b=b), judged, queries)

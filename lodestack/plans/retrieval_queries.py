@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators import index, rank
-from lodestack.session import load
+from lodestack.session import load, shared_dir
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +21,19 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "labelled_queries").select(F.col("id").alias("query_id"), "query", "query_type", "expected_paths")
 
 
+_INDEXES: dict[tuple[str, str], index.TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> index.TextIndex:
+    """The index of a data folder's documents: written at the first search of an application, read by all."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = index.TextIndex.build(documents(spark, sf_dir), f"{shared_dir(spark)}/lodestack-index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
 def space(spark: SparkSession, sf_dir: str) -> index.SearchSpace:
-    return index.SearchSpace(documents(spark, sf_dir), search_queries(spark, sf_dir))
+    return index.SearchSpace(text_index(spark, sf_dir), search_queries(spark, sf_dir))
 
 
 DOCS = """
@@ -125,12 +138,12 @@ def binary_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.tfidf_cosine(space(spark, sf_dir), documents(spark, sf_dir))
+    return rank.tfidf_cosine(space(spark, sf_dir), text_index(spark, sf_dir))
 
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, docs = space(spark, sf_dir), documents(spark, sf_dir)
-    return rank.reciprocal_rank_fusion([rank.bm25(s, k=40), rank.tfidf_cosine(s, docs, k=40)], k=10)
+    s = space(spark, sf_dir)
+    return rank.reciprocal_rank_fusion([rank.bm25(s, k=40), rank.tfidf_cosine(s, text_index(spark, sf_dir), k=40)], k=10)
 
 
 def selective_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +163,7 @@ def self_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document whose id divides by 100 as a query, with all its terms, against all documents."""
     docs = documents(spark, sf_dir)
     queries = docs.where("doc_id % 100 = 0").select(F.col("doc_id").cast("string").alias("query_id"), F.col("text").alias("query"))
-    ranked = rank.bm25(index.SearchSpace(docs, queries), k=10, unique_terms=True)
+    ranked = rank.bm25(index.SearchSpace(text_index(spark, sf_dir), queries), k=10, unique_terms=True)
     own = ranked.where(F.col("query_id").cast("long") == F.col("doc_id")).select("query_id", F.col("rank").alias("own_rank"))
     return queries.select("query_id").join(own, "query_id", "left").select("query_id", F.coalesce("own_rank", F.lit(0)).alias("own_rank"))
 

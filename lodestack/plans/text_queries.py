@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
+from lodestack.functions.fields import DECLARED, IMPORTED, field_words, path_words, word_positions
 from lodestack.operators import chunking, index, rank
-from lodestack.plans.retrieval_queries import DOCS, SPACE, TERMS, bm25_sql, documents, search_queries, space
-from lodestack.session import broadcast_if_small, load
+from lodestack.plans.retrieval_queries import DOCS, SPACE, TERMS, bm25_sql, documents, search_queries, space, text_index
+from lodestack.session import broadcast_if_small, load, materialize
 
 
 def scan_nonblank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,38 +84,11 @@ def unsafe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("entry_id", "source", T.unsafe_path(F.col("source")).alias("unsafe"))
 
 
-DECLARED = r"\b(?:def|function|func|fn|class|interface|type|struct|enum|const|let|var)\s+([A-Za-z_][A-Za-z0-9_]*)"
-IMPORTED = r"""\b(?:import|from|require)\b[^"'\n]*["']([^"']+)["']"""
-
-
-def field_words(docs: DataFrame) -> DataFrame:
-    """``(doc_id, path_words, name_words, identifier_words, structure_words)``, each sorted and distinct."""
-    path = F.col("path")
-    declared = F.regexp_extract_all("text", F.lit(DECLARED), F.lit(1))
-    imported = F.regexp_extract_all("text", F.lit(IMPORTED), F.lit(1))
-    return docs.select(
-        "doc_id", "path", "text",
-        T.code_words(F.concat_ws(" ", F.array_join(T.path_parts(path), " "), T.file_stem(path))).alias("path_words"),
-        T.code_words(T.file_stem(path)).alias("stem_words"),
-        T.code_words(T.file_name(path)).alias("name_words"),
-        T.code_words(F.col("text")).alias("identifier_words"),
-        T.code_words(F.array_join(F.concat(declared, imported), " ")).alias("structure_words"),
-    )
-
-
 def doc_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = field_words(documents(spark, sf_dir))
     return rows.select("doc_id", F.array_join("path_words", " ").alias("path_words"), F.array_join("stem_words", " ").alias("stem_words"), F.size("identifier_words").alias("identifiers"), F.array_join("structure_words", " ").alias("structure_words"))
 
 
-def word_positions(docs: DataFrame) -> DataFrame:
-    """``(doc_id, word, pos)``: up to eight ordinals of the identifiers that hold a code word."""
-    identifiers = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(T.IDENTIFIER), F.lit(0))).alias("pos", "identifier"))
-    words = identifiers.select("doc_id", "pos", F.explode(T.code_words(F.col("identifier"))).alias("word"))
-    order = Window.partitionBy("doc_id", "word").orderBy("pos")
-    return words.withColumn("rn", F.row_number().over(order)).where("rn <= 8").drop("rn")
-
-
 def term_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_positions(documents(spark, sf_dir)).groupBy("doc_id", "word").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("kept"))
 
@@ -166,27 +140,25 @@ def title_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def path_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.col("path")
-    words = documents(spark, sf_dir).select("doc_id", F.explode(T.code_words(F.concat_ws(" ", F.array_join(T.path_parts(path), " "), T.file_stem(path)))).alias("term"))
+    words = documents(spark, sf_dir).select("doc_id", F.explode(path_words(path)).alias("term"))
     return words.groupBy("term").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
-def title_fallback_frame(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def title_fallback_frame(found: index.TextIndex, queries: DataFrame, k: int = 10) -> DataFrame:
     """Documents by the query's code words in their paths: most matches, then rarest words, then smallest id."""
-    path = F.col("path")
     stop = T.literals(T.STOPWORDS)
-    wanted = queries.select("query_id", F.explode(F.array_except(T.code_words(F.col("query")), stop)).alias("term"))
-    places = docs.select("doc_id", F.explode(T.code_words(F.concat_ws(" ", F.array_join(T.path_parts(path), " "), T.file_stem(path)))).alias("term"))
-    places = places.join(broadcast_if_small(wanted.select("term").distinct()), "term", "left_semi")
-    n = docs.count()
-    weight = places.groupBy("term").agg((1 + index.inverse_frequency(F.lit(float(n)), F.count("*"))).alias("w"))
-    hits = places.join(broadcast_if_small(wanted.join(broadcast_if_small(weight), "term")), "term")
+    wanted = materialize(queries.select("query_id", F.explode(F.array_except(T.code_words(F.col("query")), stop)).alias("term")), "path-words")
+    places = found.table("paths").join(broadcast_if_small(wanted.select("term").distinct()), "term", "left_semi")
+    n = found.table("documents").count()
+    weight = materialize(places.groupBy("term").agg((1 + index.inverse_frequency(F.lit(float(n)), F.count("*"))).alias("w")), "path-weights")
+    hits = places.join(broadcast_if_small(materialize(wanted.join(broadcast_if_small(weight), "term"), "weighed")), "term")
     scored = hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("matched"), F.round(F.sum("w"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("matched"), F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def title_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return title_fallback_frame(documents(spark, sf_dir), search_queries(spark, sf_dir)).select("query_id", "rank", "doc_id", "matched", "score")
+    return title_fallback_frame(text_index(spark, sf_dir), search_queries(spark, sf_dir)).select("query_id", "rank", "doc_id", "matched", "score")
 
 
 QUERIES = {

@@ -16,7 +16,17 @@ def test_store_life_cycle(spark, tmp_path):
     opened.append(spark.createDataFrame([(1, "auth", "src/auth.py", "replaced by cookies"), (4, "n", "n.md", "new")], SCHEMA))
     opened.delete(spark.createDataFrame([(2,)], "doc_id long"))
     assert {(r.doc_id, r.text) for r in opened.documents().collect()} == {(1, "replaced by cookies"), (3, None), (4, "new")}
+    # what was appended is found, read and verified at once; what was replaced or deleted is gone
+    asked = spark.createDataFrame([("a", "cookies"), ("b", "bearer"), ("c", "invoice"), ("d", "new")], "query_id string, query string")
+    assert {(r.query_id, r.doc_id) for r in opened.search(asked).collect()} == {("a", 1), ("d", 4)}
+    assert {tuple(r) for r in opened.read(spark.createDataFrame([(1,), (2,), (4,)], "doc_id long")).collect()} == {(1, "replaced by cookies"), (4, "new")}
+    assert tuple(opened.verify().first()) == (2, 2, 0)
+    with pytest.raises(ValueError):
+        opened.append(docs.withColumn("path", F.lit("../up.py")))
+    opened.append(spark.createDataFrame([(2, "billing", "src/billing.py", "invoice again")], SCHEMA))
+    assert {(r.query_id, r.doc_id) for r in opened.search(asked).collect()} == {("a", 1), ("c", 2), ("d", 4)}
     opened.reindex()
+    assert {(r.query_id, r.doc_id) for r in opened.search(asked).collect()} == {("a", 1), ("c", 2), ("d", 4)}
     assert {tuple(r) for r in opened.read(spark.createDataFrame([(4,)], "doc_id long")).collect()} == {(4, "new")}
     with pytest.raises(ValueError):
         api.Store.create(spark, str(tmp_path / "t"), docs.withColumn("path", F.lit("../up.py")))

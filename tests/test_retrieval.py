@@ -20,6 +20,27 @@ def queries(spark, *texts):
     return spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(texts)], "query_id string, query string")
 
 
+def test_a_floor_changes_no_result(spark):
+    import random
+
+    pick = random.Random(5)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(10)]
+    docs = spark.createDataFrame([(i, "", f"p/{i}.py", " ".join(pick.choices(words, range(1, 81), k=pick.randrange(5, 60)))) for i in range(400)], "doc_id long, title string, path string, text string")
+    asked = spark.createDataFrame([(f"q{i}", " ".join(pick.choices(words, range(1, 81), k=9))) for i in range(12)], "query_id string, query string")
+    space = index.SearchSpace(docs, asked)
+    parts = space.postings.join(space.idf, "term").select("term", "doc_id", rank.bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), space.avgdl, 1.2, 0.75).alias("c"))
+    wanted = space.query_terms.select("qn", "term", F.col("qtf").cast("double").alias("w"))
+    for k, rows in ((3, 40), (10, 300), (500, 50)):
+        got = [sorted(tuple(r) for r in rank.top_sums(space, wanted, parts, k, floor_pairs=pairs, first_rows=rows).collect()) for pairs in (0, 10**9)]
+        assert got[0] == got[1] and len(got[0]) > 30
+
+
+def test_list_heads_cross_segments(spark):
+    rows = spark.createDataFrame([("a", i * 3) for i in range(100)] + [("b", 7)], "term string, doc_id long")
+    got = sorted((r.term, r.doc_id) for r in rank.list_heads(rows, 30, segment=16).collect())
+    assert got == [("a", i * 3) for i in range(30)] + [("b", 7)]
+
+
 def test_bm25_by_hand(spark, docs):
     space = index.SearchSpace(docs, queries(spark, "bearer token", None, "", "unknown"))
     got = [(r.query_id, r.rank, r.doc_id, r.score) for r in rank.bm25(space).orderBy("query_id", "rank").collect()]
@@ -74,7 +95,7 @@ def test_fixed_chunks_cover_the_text(spark):
 
 
 def test_rerank_prefers_the_named_file(spark, docs):
-    from lodestack.plans.text_queries import field_words, word_positions
+    from lodestack.functions.fields import field_words, word_positions
 
     ranked = spark.createDataFrame([("q0", 1, 4), ("q0", 2, 1)], "query_id string, rank int, doc_id long")
     asked = spark.createDataFrame([("q0", "code of auth in src")], "query_id string, expanded string")
@@ -120,9 +141,9 @@ def test_runs_shorten_and_expand(ids):
 def test_dense_blocks(spark):
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)] + [(50, None), (51, []), (52, [1.0])], "doc_id long, embedding array<double>")
     asked = rows.where("doc_id < 4").select(F.col("doc_id").alias("query_id"), "embedding")
-    got = dense.dense_topk(rows, asked, 2, block=2).where("query_id = 3").orderBy("rank").collect()
+    got = dense.dense_topk(rows, asked, 2, block_bytes=32).where("query_id = 3").orderBy("rank").collect()
     assert [r.doc_id for r in got] == [19, 18]
-    assert {r.doc_id for r in dense.dense_topk(rows, asked, 2, block=2).where("query_id = 0").collect()} == {0, 1}
+    assert {r.doc_id for r in dense.dense_topk(rows, asked, 2, block_bytes=32).where("query_id = 0").collect()} == {0, 1}
 
 
 def test_upsert_and_tombstones(spark):
