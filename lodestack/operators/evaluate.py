@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.session import materialize
+
 
 def resolve_judgements(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """``(query_id, expected_path, doc_id)``: each expected path with its document, the smallest id of several, or null."""
@@ -44,7 +46,7 @@ def running_metrics(first: DataFrame, prefix: int = 7) -> DataFrame:
     """
     gain = F.when(F.col("first") > 0, 1.0 / F.col("first")).otherwise(0.0)
     names = ("n", "h", "g")
-    parts = first.select("query_id", F.lit(1).cast("long").alias("n"), (F.col("first") > 0).cast("long").alias("h"), gain.alias("g"))
+    parts = materialize(first.select("query_id", F.lit(1).cast("long").alias("n"), (F.col("first") > 0).cast("long").alias("h"), gain.alias("g")), "gains")
     cut = lambda i: F.substring("query_id", 1, i)
     inside = Window.partitionBy(cut(prefix)).orderBy("query_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = parts.select("query_id", *[F.sum(c).over(inside).alias(c) for c in names])
