@@ -3,12 +3,15 @@
 Every text has a point in a few dimensions (the hashed vector of :mod:`tokens`, each dimension made
 uniform by the mean and deviation over all texts).  The place of the point on the Hilbert curve is
 the sort key: texts close on the curve are close in content.  Spark range-sorts all texts of each
-plan by that key; each task walks its stretch of the curve in windows and fits the texts of a window
-into the containers still open, largest first, each into the fullest one that has room.
+plan by that key; each task walks its stretch of the curve in windows of a few containers' worth of
+tokens and fits the texts of a window into the containers still open, largest first, each into the
+fullest one that has room.  A container closes once the curve has gone on by ``open_windows`` windows, so
+what it holds lies close together: wider windows fill better and neighbour less.
 """
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -81,31 +84,38 @@ def _fit(capacity: int, items: list[tuple[int, int, int, int]], bins: list[tuple
         yield container, doc, piece, start, size
 
 
-def pack(documents: DataFrame, plans: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, tokenizer: str = TOKENIZER, dims: int = 4, bits: int = 10, window: int = 4096, open_bins: int = 512) -> DataFrame:
+def pack(documents: DataFrame, plans: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, tokenizer: str = TOKENIZER, dims: int = 4, bits: int = 10, window: int = 32, open_windows: int = 4) -> DataFrame:
     """``(plan_id, container_id, doc_id, piece, start_token, n_tokens)`` of all pieces of all texts of each plan.
 
     ``plans`` holds ``plan_id, capacity_tokens, lang``; a null ``lang`` takes all texts, otherwise
     only texts of that ``lang`` take part.  A text longer than the capacity is cut into full
     containers and a rest; every other text stays whole as piece 0.  Empty texts take a place of 0
     tokens, null texts none.  Plans with a null or non-positive capacity are left out; empty tables
-    give an empty result.  At most ``open_bins`` containers are carried from window to window.
+    give an empty result.  A window holds texts of ``window`` times the capacity, at least ``window`` of them; a
+    container takes no text later than ``open_windows`` windows after its first.
     """
     tokens = token_table(documents, id_col, text_col, {"lang": F.col(lang_col)}, tokenizer, dims)
     placed = curve_order(tokens, dims, bits)
     keyed = placed.withColumn("key", F.explode(F.array_compact(F.array(F.lit("*"), F.concat(F.lit("="), "lang")))))
     wanted = plans.where("plan_id is not null and capacity_tokens > 0").select("plan_id", F.col("capacity_tokens").cast("long").alias("capacity"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("*")).alias("key")).distinct()
-    items = keyed.join(broadcast_if_small(wanted, 10_000), "key").select("plan_id", "capacity", "curve", "doc_id", "n_tokens")
+    items = keyed.join(broadcast_if_small(wanted), "key").select("plan_id", "capacity", "curve", "doc_id", "n_tokens")
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = items.repartitionByRange(parts, "plan_id", "curve", "doc_id").sortWithinPartitions("plan_id", "curve", "doc_id")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh = iter(range(TaskContext.get().partitionId() << 40, 1 << 62))
-        current, bins, items = None, [], []
+        made = TaskContext.get().partitionId() << 40  # the number of the next container
+        current, bins, items, held = None, [], [], 0
+        opened: list[int] = []  # the first container of each of the last windows
 
         def flush() -> pa.RecordBatch:
-            placed = list(_fit(current[1], items, bins, fresh))
+            nonlocal made, held
+            opened.append(made)
+            placed = list(_fit(current[1], items, bins, itertools.count(made)))
+            made = max(made, *(container + 1 for container, *_ in placed))
             items.clear()
-            del bins[: max(0, len(bins) - open_bins)]  # the fullest are closed
+            held = 0
+            del opened[: max(0, len(opened) - open_windows)]
+            bins[:] = [b for b in bins if b[1] >= opened[0]]
             columns = list(zip(*placed, strict=True)) if placed else [[]] * 5
             plan = pa.array(np.full(len(placed), current[0], np.int32))
             return pa.RecordBatch.from_arrays([plan, *[pa.array(c, pa.int64()) for c in columns]], names=["plan_id", "container_id", "doc_id", "piece", "start_token", "n_tokens"])
@@ -116,12 +126,13 @@ def pack(documents: DataFrame, plans: DataFrame, id_col: str = "doc_id", text_co
                 if current != (plan, capacity):
                     if items:
                         yield flush()
-                    current, bins = (plan, capacity), []
+                    current, bins, opened = (plan, capacity), [], []
+                held += size
                 whole, rest = divmod(size, capacity)
                 items.extend((capacity, doc, k, k * capacity) for k in range(whole))
                 if rest or not size:
                     items.append((rest, doc, whole, whole * capacity))
-                if len(items) >= window:
+                if held >= window * capacity and len(items) >= window:
                     yield flush()
         if items:
             yield flush()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestack.session import materialize
 
-#: Default vocabulary file; any file of "base64-token rank" lines will do.
+#: Default vocabulary file; any file of "base64-token rank" lines will do.  It is read on the driver and sent to the executors.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE vocabularies of this kind split a text before merging (a fixed value).
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -21,11 +22,12 @@ _ENCODINGS: dict[str, object] = {}
 
 
 def encoding(path: str):
-    """The tokenizer of a vocabulary file, loaded once per Python worker."""
+    """The tokenizer of a vocabulary file that was sent to the executors, loaded once per Python worker."""
     import tiktoken
+    from pyspark import SparkFiles
 
     if path not in _ENCODINGS:
-        with open(path, "rb") as lines:
+        with open(SparkFiles.get(os.path.basename(path)), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
         _ENCODINGS[path] = tiktoken.Encoding("public", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
     return _ENCODINGS[path]
@@ -40,6 +42,7 @@ def token_table(documents: DataFrame, id_col: str, text_col: str, keep: dict[str
     counts, the one with the most tokens.
     """
     keep = keep or {}
+    documents.sparkSession.sparkContext.addFile(tokenizer)
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), *[c.cast("string").alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("text"))
     rows = rows.where("doc_id is not null and text is not null")
     names, extra = list(keep), len(keep)
