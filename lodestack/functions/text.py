@@ -1,11 +1,16 @@
 """Scalar text functions: terms, code words, paths, languages, snippets, normalisation.
 
-All are Column expressions of built-in functions, so they stay in generated code and push no Python
-into a plan.
+All but :func:`text_variants` are Column expressions of built-in functions, so they stay in generated code
+and push no Python into a plan.
 """
 
 from __future__ import annotations
 
+import html
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,6 +142,35 @@ def separated(text: Column) -> Column:
     return collapsed(F.lower(plain))
 
 
+def _variants(text: str) -> list[str]:
+    """``text`` unescaped, folded to ASCII, with plain apostrophes, without possessives, contractions joined, words set apart, lower-cased."""
+    steps = [html.unescape(text)]
+    steps.append(unicodedata.normalize("NFKD", steps[-1]).encode("ascii", "ignore").decode("ascii"))
+    steps.append(re.sub("[’‘`´]", "'", steps[-1]))
+    steps.append(re.sub(r"\b([A-Za-z]+)'s\b", r"\1", steps[-1]))
+    steps.append(re.sub(r"(?<=[A-Za-z])'(?=[A-Za-z])", "", steps[-1]))
+    apart = re.sub(r"[_\-./\\:]+", " ", steps[-1])
+    for left, right in (("[A-Z]", "[A-Z][a-z]"), ("[a-z0-9]", "[A-Z]"), ("[A-Za-z]", "[0-9]"), ("[0-9]", "[A-Za-z]")):
+        apart = re.sub(f"(?<={left})(?={right})", " ", apart)
+    steps += [apart, apart.lower()]
+    clean = [re.sub(r"\s+", " ", s).strip() for s in steps]
+    return list(dict.fromkeys(s for s in clean if s and s != text))
+
+
+def text_variants(text: Column) -> Column:
+    """``ARRAY<STRING>``: up to seven spellings under which a text may be asked for, each once, without the text itself.
+
+    Character references and compatibility forms have no built-in function, so this is Arrow-batched Python,
+    meant for titles, paths and queries.  A null text has none.
+    """
+
+    @F.pandas_udf("array<string>")
+    def spread(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else _variants(t))
+
+    return spread(text)
+
+
 def windowed_snippet(text: Column, terms: Column, limit: int) -> Column:
     """About ``limit`` characters around the first of ``terms``, with ``...`` where text is left out."""
     body = F.trim(text)

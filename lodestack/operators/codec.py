@@ -1,9 +1,10 @@
 """Compact lossless payloads: vocabulary, token ids, runs, packing, verification.
 
-The vocabulary is a table made from the collection (the ``size`` most widespread tokens), and every
-step up to the list of ids is a join or a window.  Only the last step, zlib over 32-bit ids, runs in
-Python, batch by batch.  A text is cut into tokens whose concatenation is the text; a token outside
-the vocabulary is spelled: ASCII characters as ``N + code``, others as a marker and the code point.
+The vocabulary is a table made from the collection (the ``size`` most widespread tokens).  A text is cut into
+tokens whose concatenation is the text; a token outside the vocabulary is spelled: ASCII characters as
+``N + code``, others as a marker and the code point.  As the vocabulary has a stated bound it is broadcast after
+measuring, and tokens are looked up batch by batch where the text lies: encoding and decoding shuffle nothing.
+A larger vocabulary is joined instead.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import JAVA_TOKEN
-from lodestack.session import broadcast_if_small
+from lodestack.session import BROADCAST_BYTES, broadcast_if_small, measured_bytes
 
 MAGIC = b"LDST"
 RUN = 0xFFFFFFFD
@@ -42,11 +44,40 @@ def spelled(token: Column, base: int) -> Column:
     return F.flatten(F.transform(F.split(token, ""), lambda c: F.when(F.ascii(c) < 128, F.array(F.ascii(c).cast("long") + base)).otherwise(F.array(F.lit(CODE_POINT), F.ascii(c).cast("long")))))
 
 
+def _looked_up(words: DataFrame, size: int):  # noqa: ANN202
+    """The vocabulary as a broadcast list of tokens by id, or None if it is too large to send."""
+    rows = words.select("token", "token_id")
+    if size > 1_000_000 or measured_bytes(rows) > BROADCAST_BYTES:
+        return None
+    table: list[str | None] = [None] * size
+    for row in rows.toLocalIterator():
+        table[row.token_id] = row.token
+    return words.sparkSession.sparkContext.broadcast(pa.array(table, pa.string()))
+
+
 def token_ids(texts: DataFrame, words: DataFrame, size: int) -> DataFrame:
     """``(id, ids ARRAY<BIGINT>)`` of ``texts(id, text)``; an empty text has no ids.
 
     ``size`` is the vocabulary's bound, which is also the first id of spelled characters.
     """
+    shared = _looked_up(words, size)
+    if shared is not None:
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                listed = batch.column(1)
+                flat = listed.flatten()
+                found = pc.index_in(flat, value_set=shared.value, skip_nulls=True)
+                out = [[i] for i in found.to_pylist()]
+                for at in pc.indices_nonzero(found.is_null()).to_pylist():
+                    out[at] = [x for c in flat[at].as_py() for x in ((ord(c) + size,) if ord(c) < 128 else (CODE_POINT, ord(c)))]
+                ends, at, rows = pc.list_value_length(listed).to_pylist(), 0, []
+                for n in ends:
+                    rows.append([x for ids in out[at : at + (n or 0)] for x in ids])
+                    at += n or 0
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["id", "ids"])
+
+        return texts.select(F.col("id").cast("long").alias("id"), tokens(F.coalesce("text", F.lit(""))).alias("tokens")).mapInArrow(look_up, "id long, ids array<long>")
     placed = texts.select("id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
     known = placed.join(broadcast_if_small(words.select("token", "token_id")), "token", "left")
     ids = F.when(F.col("token_id").isNotNull(), F.array("token_id")).otherwise(spelled(F.col("token"), size))
@@ -94,6 +125,45 @@ def _shorten(ids: list[int]) -> list[int]:
     return out
 
 
+#: How runs are shortened: never, always, or where it pays.
+RUN_MODES = ("off", "auto", "force")
+
+
+def run_mode(mode: bool | str) -> str:
+    """A mode by name; True and False stand for ``force`` and ``off``."""
+    name = ("force" if mode else "off") if isinstance(mode, bool) else mode.lower()
+    if name not in RUN_MODES:
+        raise ValueError(f"unknown run mode {mode!r}")
+    return name
+
+
+def shorten(ids: list[int], mode: bool | str = "force", least: float = 0.02, block: int = 65_536) -> list[int]:
+    """``ids`` with runs shortened by ``mode``.
+
+    ``auto`` first deflates the first block both ways and leaves all as it is unless that saves the share
+    ``least``; then each block decides for itself by the number of its ids.  A block never ends inside a spelled
+    character.
+    """
+    mode = run_mode(mode)
+    if block <= 0:
+        raise ValueError("a block holds at least one id")
+    if mode != "auto" or not ids:
+        return _shorten(ids) if mode == "force" else ids
+    cuts = [0]
+    while cuts[-1] < len(ids):
+        end = min(cuts[-1] + block, len(ids))
+        cuts.append(end + 1 if end < len(ids) and ids[end - 1] == CODE_POINT else end)
+    deflated = lambda some: len(zlib.compress(struct.pack(f"<{len(some)}I", *some), 9))
+    first = ids[: cuts[1]]
+    if deflated(_shorten(first)) > (1 - least) * deflated(first):
+        return ids
+    out: list[int] = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        some = _shorten(ids[a:b])
+        out += some if b - a - len(some) >= max(1, least * (b - a)) else ids[a:b]
+    return out
+
+
 def _expand(ids: list[int]) -> list[int]:
     out: list[int] = []
     at = 0
@@ -110,27 +180,46 @@ def _expand(ids: list[int]) -> list[int]:
     return out
 
 
-def payloads(listed: DataFrame, version: int = 1) -> DataFrame:
+def payloads(listed: DataFrame, version: int = 1, runs: bool | str = "force") -> DataFrame:
     """``(id, payload BINARY)`` of ``(id, ids, bytes, language, checksum)``."""
+    mode = run_mode(runs)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, ids, size, language, checksum = (c.to_pylist() for c in batch.columns)
             out = []
             for i, n, lang, total in zip(ids, size, language, checksum, strict=True):
-                short = _shorten(i)
+                short = shorten(i, mode)
                 out.append(struct.pack(HEADER, MAGIC, version, int(len(short) < len(i)), n, lang & 0xFFFF, total) + zlib.compress(struct.pack(f"<{len(short)}I", *short), 6))
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(out, pa.binary())], names=["id", "payload"])
 
     return listed.select("id", "ids", "bytes", "language", "checksum").mapInArrow(pack, "id long, payload binary")
 
 
-def encode(texts: DataFrame, words: DataFrame, size: int) -> DataFrame:
+def encode(texts: DataFrame, words: DataFrame, size: int, version: int = 1, runs: bool | str = "force") -> DataFrame:
     """``(id, payload)`` of ``texts(id, text, language_id)``; null texts have no payload."""
     rows = texts.where("text is not null")
     data = F.col("text").cast("binary")
-    facts = rows.select("id", F.octet_length("text").alias("bytes"), F.coalesce("language_id", F.lit(-1)).alias("language"), checksum16(data).alias("checksum"))
-    return payloads(token_ids(rows, words, size).join(facts, "id"))
+    facts = rows.select(F.col("id").cast("long").alias("id"), F.octet_length("text").alias("bytes"), F.coalesce("language_id", F.lit(-1)).alias("language"), checksum16(data).alias("checksum"))
+    return payloads(token_ids(rows, words, size).join(facts, "id"), version, runs)
+
+
+def prefix(words: DataFrame, size: int) -> DataFrame:
+    """The vocabulary's first ``size`` ids: what an earlier, smaller version held."""
+    return words.where(F.col("token_id") < size)
+
+
+def migrate(packed: DataFrame, old: DataFrame, old_size: int, new: DataFrame, new_size: int, version: int) -> DataFrame:
+    """``(id, payload)`` of all payloads in ``version``: those of another one are decoded by ``old`` and encoded by ``new``.
+
+    Payloads that do not decode stay as they are.
+    """
+    seen = packed.select("id", "payload").join(headers(packed).select("id", F.col("version").alias("made"), "language"), "id")
+    stale = seen.where(F.col("made") != version)
+    texts = decode(stale.select("id", "payload"), old, old_size).where("text is not null").join(stale.select("id", F.when(F.col("language") < 0x8000, F.col("language")).alias("language_id")), "id")
+    fresh = encode(texts, new, new_size, version)
+    kept = packed.select(F.col("id").cast("long").alias("id"), "payload").join(fresh.select("id"), "id", "left_anti")
+    return kept.union(fresh)
 
 
 def headers(packed: DataFrame) -> DataFrame:
@@ -139,6 +228,22 @@ def headers(packed: DataFrame) -> DataFrame:
     return packed.select("id", F.substring("payload", 1, 4).cast("string").alias("magic"), number(5, 2).alias("version"), (number(7, 2) % 2 == 1).alias("runs"), number(9, 4).alias("bytes"), number(13, 2).alias("language"), number(15, 2).alias("checksum"))
 
 
+def _text_of(ids: list[int], table: list[str | None], size: int) -> str:
+    """Tokens and spelled characters of a list of ids, joined; unknown ids stand for nothing."""
+    out, marked = [], False
+    for i in ids:
+        if marked:
+            out.append(chr(i) if i < 0x110000 else "")
+            marked = False
+        elif i == CODE_POINT:
+            marked = True
+        elif i < size:
+            out.append(table[i] or "")
+        elif i < size + 128:
+            out.append(chr(i - size))
+    return "".join(out)
+
+
 def decode(packed: DataFrame, words: DataFrame, size: int) -> DataFrame:
     """``(id, text)`` of ``(id, payload)``: ids by zlib, tokens by a join, text by position.
 
@@ -159,6 +264,16 @@ def decode(packed: DataFrame, words: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "ids"])
 
     listed = packed.select(F.col("id").cast("long").alias("id"), "payload").mapInArrow(inflate, "id long, ids array<long>")
+    shared = _looked_up(words, size)
+    if shared is not None:
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = shared.value.to_pylist()
+            for batch in batches:
+                texts = [None if ids is None else _text_of(ids, table, size) for ids in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+
+        return listed.mapInArrow(spell, "id long, text string")
     placed = listed.where("ids is not null").select("id", F.posexplode_outer("ids").alias("pos", "token_id"), F.col("ids"))
     # a code point follows its marker; the marker itself stands for nothing
     placed = placed.withColumn("marked", F.when(F.col("pos") > 0, F.element_at("ids", F.col("pos")) == CODE_POINT).otherwise(False)).drop("ids")
