@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
-from lodestack.operators import chunking, codec, rank
+from lodestack.operators import chunking, codec, dense, lsa, rank
 from lodestack.plans.retrieval_queries import DOCS, SPACE, TERMS, bm25_sql, documents, search_queries, space, text_index
 from lodestack.plans.store_queries import _TEXTS, _VOCAB, VOCABULARY, chunk_texts, words
 from lodestack.plans.text_queries import ORACLE as TEXT_SQL
@@ -98,9 +98,18 @@ def migrated_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.headers(moved).select("id", "version").join(ok, "id")
 
 
+def lsa_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five documents nearest to every query in 32 latent dimensions."""
+    found, queries = text_index(spark, sf_dir), search_queries(spark, sf_dir)
+    counts = found.table("postings").select("doc_id", "term", "tf")
+    latent = lsa.fit(counts, found.table("documents").count())
+    asked = queries.select("query_id", F.explode(T.raw_terms("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
+    return dense.dense_topk(materialize(latent.vectors(counts, "doc_id"), "vectors"), latent.vectors(asked, "query_id"), 5)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (spellings, retrieval_terms, vocabulary_kinds, bm25_retry, gen_first_words, collected_files, chunk_titles, collapsed_snippet, costliest_queries, run_savings, migrated_payloads)
+    for f in (spellings, retrieval_terms, vocabulary_kinds, bm25_retry, gen_first_words, collected_files, chunk_titles, collapsed_snippet, costliest_queries, run_savings, migrated_payloads, lsa_topk)
 }
 
 _STEMS = TEXT_SQL["stem_aliases"].split("SELECT DISTINCT term, alias")[0]
