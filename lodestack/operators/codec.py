@@ -13,10 +13,13 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lodestack.functions.text import JAVA_TOKEN
 from lodestack.session import BROADCAST_BYTES, broadcast_if_small, measured_bytes
@@ -94,10 +97,14 @@ def runs(texts: DataFrame, least: int = 3) -> DataFrame:
     return islands.groupBy("id", "token", "island").agg(F.min("pos").alias("start"), F.count("*").alias("length")).where(F.col("length") >= least).select("id", "start", "length", "token")
 
 
+@F.pandas_udf(LongType())
+def _byte_sum(data: pd.Series) -> pd.Series:
+    return data.map(lambda d: None if d is None else int(np.frombuffer(d, np.uint8).sum(dtype=np.int64)) % 65536).astype("Int64")
+
+
 def checksum16(data: Column) -> Column:
-    """Sum of all bytes modulo 65536."""
-    digits = F.regexp_extract_all(F.hex(data), F.lit("[0-9A-F]{2}"), F.lit(0))
-    return F.aggregate(digits, F.lit(0).cast("long"), lambda total, d: total + F.conv(d, 16, 10).cast("long")) % 65536
+    """Sum of all bytes modulo 65536; by Arrow batches, since a lambda over every byte is far slower in the JVM."""
+    return _byte_sum(data)
 
 
 def varint_length(value: Column) -> Column:

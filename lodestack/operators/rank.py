@@ -153,7 +153,7 @@ def token_types(space: SearchSpace) -> DataFrame:
         .when(codelike | F.coalesce("titled", F.lit(False)), "identifier/path")
         .otherwise("text")
     )
-    return stats.select("query_id", "term", "qtf", "df", "df_ratio", "idf", kind.alias("kind"))
+    return stats.select("query_id", "qn", "term", "qtf", "df", "df_ratio", "idf", kind.alias("kind"))
 
 
 def list_heads(postings: DataFrame, cap: int, segment: int = SEGMENT) -> DataFrame:
@@ -186,23 +186,23 @@ def selective_search(space: SearchSpace, k: int = 10, cap: int = 2000, floor: fl
     scale = max(1.0, math.log(space.n_docs + 1))
     weight = F.when(F.col("df") == 0, 0.0).when(strong, F.greatest(F.lit(floor), F.col("idf") / scale)).otherwise(F.col("idf") / scale)
     terms = kinds.withColumn("w", weight).where(F.col("w") >= drop)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("w", 9)), "df", F.desc(F.round("idf", 9)), "term")
-    terms = materialize(terms.withColumn("turn", F.row_number().over(order)).select("query_id", "term", "w", "idf", "turn"), "turns")
+    order = Window.partitionBy("qn").orderBy(F.desc(F.round("w", 9)), "df", F.desc(F.round("idf", 9)), "term")
+    terms = materialize(terms.withColumn("turn", F.row_number().over(order)).select("qn", "term", "w", "idf", "turn"), "turns")
     heads = list_heads(space.postings.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi"), cap)
     walk = heads.join(broadcast_if_small(terms), "term")
-    row = walk.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "doc_id")))
-    row = row.withColumn("fresh", (F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("rn")) == 1).cast("int"))
-    row = row.withColumn("seen", F.sum("fresh").over(Window.partitionBy("query_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)))
+    row = walk.withColumn("rn", F.row_number().over(Window.partitionBy("qn").orderBy("turn", "doc_id")))
+    row = row.withColumn("fresh", (F.row_number().over(Window.partitionBy("qn", "doc_id").orderBy("rn")) == 1).cast("int"))
+    row = row.withColumn("seen", F.sum("fresh").over(Window.partitionBy("qn").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)))
     kept = row.where(F.coalesce("seen", F.lit(0)) < cap)
-    candidates = kept.groupBy("query_id", "doc_id").agg(F.sum("w").alias("gathered")).where(F.round("gathered", 9) >= floor).select("query_id", "doc_id")
+    candidates = kept.groupBy("qn", "doc_id").agg(F.sum("w").alias("gathered")).where(F.round("gathered", 9) >= floor).select("qn", "doc_id")
     candidates = broadcast_if_small(materialize(candidates, "candidates"))
-    full = space.postings.join(broadcast_if_small(terms), "term").join(candidates, ["query_id", "doc_id"], "left_semi")
-    scored = full.select("query_id", "doc_id", (bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), space.avgdl, k1, b) * F.col("w")).alias("s"))
+    full = space.postings.join(broadcast_if_small(terms), "term").join(candidates, ["qn", "doc_id"], "left_semi")
+    scored = full.select("qn", "doc_id", (bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), space.avgdl, k1, b) * F.col("w")).alias("s"))
     if title_boost:
-        boosts = space.titles.join(broadcast_if_small(terms.select("query_id", "term")), "term").join(candidates, ["query_id", "doc_id"], "left_semi")
-        scored = scored.union(boosts.select("query_id", "doc_id", F.lit(float(title_boost)).alias("s")))
-    summed = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score")).where("score > 0")
-    return top(summed, k).select("query_id", "rank", "doc_id", "score")
+        boosts = space.titles.join(broadcast_if_small(terms.select("qn", "term")), "term").join(candidates, ["qn", "doc_id"], "left_semi")
+        scored = scored.union(boosts.select("qn", "doc_id", F.lit(float(title_boost)).alias("s")))
+    summed = scored.groupBy("qn", "doc_id").agg(F.round(F.sum("s"), 6).alias("score")).where("score > 0")
+    return top(summed, k, key="qn").join(broadcast_if_small(space.numbers), "qn").select("query_id", "rank", "doc_id", "score")
 
 
 def merge_first(primary: DataFrame, *others: DataFrame, k: int = 10) -> DataFrame:
