@@ -218,6 +218,8 @@ def _runs(texts: list[str], min_chars: int, hasher: _Hasher) -> tuple[np.ndarray
 
 def _unequal(texts: list[str], row: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray, length: int) -> np.ndarray:
     """Which spans (text, place) differ from those they are paired with; neighbours are compared as one stretch."""
+    if not len(row):
+        return np.zeros(0, np.int64)
     order = np.lexsort((at, there - at, other, row))
     r, o, a, t = row[order], other[order], at[order], there[order]
     opens = np.ones(len(r), bool)

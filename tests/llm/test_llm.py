@@ -91,6 +91,14 @@ def test_unequal_spans_of_one_hash_are_told_apart(spark, monkeypatch):
     assert {r.doc_id: r.shared_chars for r in shared_spans.shared_chars(spans).collect()} == brute_shared(texts, 40)
 
 
+def test_repeated_anchors_without_a_shared_span(spark):
+    pick = random.Random(11)
+    text = lambda n: "".join(pick.choice("abcdefgh ") for _ in range(n))
+    parts = [text(36) for _ in range(12)]  # anchors stand in them, but no span of 40
+    frame = spark.createDataFrame([(i, text(60) + parts[i % 12] + text(60)) for i in range(24)], "id long, text string")
+    assert shared_spans.shared_intervals(frame, "id", "text", min_chars=40, gram=16).count() == 0
+
+
 def test_no_records_share_nothing(spark):
     frame = spark.createDataFrame([], "id long, text string")
     assert shared_spans.shared_chars(shared_spans.shared_intervals(frame, "id", "text")).count() == 0
