@@ -35,6 +35,46 @@ def test_a_floor_changes_no_result(spark):
         assert got[0] == got[1] and len(got[0]) > 30
 
 
+@pytest.mark.parametrize("held", [2_000_000, 7])
+def test_blocks_of_documents_equal_brute_force(spark, monkeypatch, held):
+    import random
+
+    pick = random.Random(8)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(6)]
+    made = [" ".join(pick.choices(words, range(1, 31), k=pick.randrange(1, 30))) for _ in range(80)]
+    texts = dict(enumerate([*made, *made, "other"]))  # equal scores everywhere
+    asked = {f"q{i}": " ".join(pick.choices(words, k=4)) for i in range(7)} | {"none": "absent"}
+    docs = spark.createDataFrame([(i, t.split()[0], t) for i, t in texts.items()], "doc_id long, title string, text string")
+    space = index.SearchSpace(docs, spark.createDataFrame(list(asked.items()), "query_id string, query string"))
+    monkeypatch.setattr(rank.blocks, "QUERY_TERMS", held)
+    shared = {(q, i): len({*asked[q].split()} & {*t.split()}) for q in asked for i, t in texts.items()}
+    assert {(r.query_id, r.candidates) for r in rank.candidates(space).collect()} == {(q, sum(n > 0 for (p, _), n in shared.items() if p == q)) for q in asked if q != "none"}
+
+    def best(scores, k):
+        out = set()
+        for q in asked:
+            mine = sorted((-v, i) for (p, i), v in scores.items() if p == q and v > 0)
+            out |= {(q, n, i, -v) for n, (v, i) in enumerate(mine[:k], 1)}
+        return out
+
+    cosines = {(q, i): math.floor(n / math.sqrt(len({*asked[q].split()}) * len({*texts[i].split()})) * 1e6 + 0.5) / 1e6 for (q, i), n in shared.items()}
+    assert {tuple(r) for r in rank.binary_cosine(space, index.doc_stats(docs), k=5).collect()} == best(cosines, 5)
+    owners = spark.createDataFrame([(i, i // 3 if i > 8 else None) for i in texts], "doc_id long, owner long")
+    pooled: dict = {}
+    for (q, i), n in shared.items():
+        key = (q, i // 3 if i > 8 else rank.blocks.NO_OWNER)
+        pooled[key] = max(n, pooled.get(key, 0))
+    assert {(r.query_id, r.rank, rank.blocks.NO_OWNER if r.owner is None else r.owner, r.score) for r in rank.best_owners(space, owners, k=4).collect()} == best(pooled, 4)
+
+    monkeypatch.setattr(rank.top_sums, "__defaults__", (10**9, 16))
+    plain = {tuple(r) for r in rank.bm25(space, k=6, title_boost=1.0).collect()}
+    monkeypatch.setattr(rank.top_sums, "__defaults__", (0, 16))
+    ranked = rank.bm25(space, k=6, title_boost=1.0)
+    assert {tuple(r) for r in ranked.collect()} == plain and len(plain) > 30
+    for r in rank.matched_terms(space, ranked).collect():
+        assert r.matched is None or set(r.matched) == {*asked[r.query_id].split()} & {*texts[r.doc_id].split()}
+
+
 def test_list_heads_cross_segments(spark):
     rows = spark.createDataFrame([("a", i * 3) for i in range(100)] + [("b", 7)], "term string, doc_id long")
     got = sorted((r.term, r.doc_id) for r in rank.list_heads(rows, 30, segment=16).collect())
