@@ -61,6 +61,32 @@ def test_asked_words_equal_those_of_the_index(spark):
     assert len(got) == len(wanted) == 48
 
 
+def test_asked_words_keep_every_place(spark):
+    docs = spark.createDataFrame([(1, "a.py", "parse x1 " * 30 + "parseFile"), (2, None, None)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.places for r in asked_words(docs, {"parse", "file"}, places=None).collect()}
+    assert got == {1: {"parse": [*range(0, 60, 2), 60], "file": [60]}, 2: {}}
+
+
+@pytest.fixture(scope="module")
+def met_late(spark, tmp_path_factory):
+    """A folder whose queries' words come near each other only after their eighth place."""
+    far = " ".join(["stuff"] * 15)
+    apart = " ".join([f"alpha {far}"] * 8 + [f"beta {far}"] * 8)
+    texts = [f"{apart} alpha beta", f"{apart} alpha {' '.join(['stuff'] * 11)} beta", f"{apart} alpha {far} beta", f"alpha {far} " * 8 + "alpha alpha", "beta alpha"]
+    docs = [(i, None, t, 0, f"src/part{chr(97 + i)}.py", "all", None) for i, t in enumerate(texts)]
+    at = str(tmp_path_factory.mktemp("met-late"))
+    spark.createDataFrame(docs, "id long, title string, text string, language_id int, path string, collection string, harvested_at timestamp").write.parquet(f"{at}/bench_docs.parquet")
+    spark.createDataFrame([("q", None, "alpha beta", [])], "id string, query_type string, query string, expected_paths array<string>").write.parquet(f"{at}/labelled_queries.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", ["proximity"])
+def test_words_that_meet_after_their_eighth_place(spark, met_late, name):
+    got = {r.doc_id: r.proximity for r in entry.queries()[name](spark, met_late).collect()}
+    assert got == {0: 0.6, 1: 0.3, 2: 0.0, 3: 0.6, 4: 0.6}
+    assert difference(spark, duck(met_late), name, entry.queries()[name], entry.oracle_sql()[name], met_late) == ""
+
+
 def test_gap_between(spark):
     row = spark.range(1).select(*[rerank.gap_between(F.array(*map(F.lit, q)), F.expr("map('a', array(9, 30), 'b', array(2, 14), 'c', array(9))")).alias(n) for n, q in (("ab", "ab"), ("ac", "ac"), ("c", "cx"), ("a", "a"), ("x", "x"))]).first()
     assert tuple(row) == (5, 0, None, 21, None)
