@@ -80,7 +80,7 @@ def met_late(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["proximity"])
+@pytest.mark.parametrize("name", ["proximity", "rerank_features"])
 def test_words_that_meet_after_their_eighth_place(spark, met_late, name):
     got = {r.doc_id: r.proximity for r in entry.queries()[name](spark, met_late).collect()}
     assert got == {0: 0.6, 1: 0.3, 2: 0.0, 3: 0.6, 4: 0.6}
